@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .decontamination import OP9_SQL, op9_decontamination
 from .language_id import op3_language_id
+from .license_scan import op6_license_scan
 from .secret_scan import op1_secret_scan
 from .sentencepiece_bpe import op4_sentencepiece
 
@@ -10,5 +12,9 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op3_language_id": op3_language_id,
     "op4_sentencepiece": op4_sentencepiece,
+    "op6_license_scan": op6_license_scan,
+    "op9_decontamination": op9_decontamination,
+}
+ORACLE: dict[str, str] = {
+    "op9_decontamination": OP9_SQL,
 }
-ORACLE: dict[str, str] = {}
