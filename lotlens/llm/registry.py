@@ -5,14 +5,18 @@ from __future__ import annotations
 from .decontamination import OP9_SQL, op9_decontamination
 from .language_id import op3_language_id
 from .license_scan import op6_license_scan
+from .quality import op2_quality
 from .secret_scan import op1_secret_scan
 from .sentencepiece_bpe import op4_sentencepiece
+from .toxicity import op8_toxicity
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_quality": op2_quality,
     "op3_language_id": op3_language_id,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_license_scan": op6_license_scan,
+    "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
 }
 ORACLE: dict[str, str] = {
