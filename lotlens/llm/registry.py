@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .decontamination import OP9_SQL, op9_decontamination
+from .embedding_duplicates import op7_embedding_duplicates
 from .language_id import op3_language_id
 from .license_scan import op6_license_scan
+from .near_duplicates import op5_near_duplicates
 from .quality import op2_quality
 from .secret_scan import op1_secret_scan
 from .sentencepiece_bpe import op4_sentencepiece
@@ -15,7 +17,9 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_language_id": op3_language_id,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_license_scan": op6_license_scan,
+    "op7_embedding_duplicates": op7_embedding_duplicates,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
 }

@@ -30,6 +30,7 @@ from .common import fold, small_batches, table
 SAMPLE = 6000
 FEATURES = 2000
 GRADES = 3
+THRESHOLD = 0.3  # of P(grade >= 1), for predicted
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -67,7 +68,7 @@ class Ordinal:
         return sigmoid(x - self.thresholds).tolist()
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, steps: int = 400, rate: float = 0.05, l2: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, steps: int = 600, rate: float = 0.1, l2: float = 3e-5) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds; rows hold (feature, value) pairs. Adam on the sum of the thresholds' log losses."""
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     flat = np.concatenate([*rows, np.zeros((0, 2))])
@@ -93,7 +94,7 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, ste
     return theta[:n_features], theta[n_features] + np.concatenate(([0.0], np.cumsum(np.exp(theta[n_features + 1 :]))))
 
 
-def fit_texts(texts: list[str], toxic: list[int], least: int = 4) -> Ordinal:
+def fit_texts(texts: list[str], toxic: list[int], least: int = 5) -> Ordinal:
     y = np.array(toxic, np.int64)
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
@@ -149,7 +150,7 @@ def score(docs: DataFrame, model: Ordinal, key: str = "doc_id", text: str = "tex
         for b in batches:
             p = np.array([model.at_least(t or "") for t in b.column("__text").to_pylist()]).reshape(-1, GRADES)
             shares = -np.diff(np.concatenate((np.ones((len(p), 1)), p, np.zeros((len(p), 1))), axis=1), axis=1)
-            columns = [pa.array(p.sum(axis=1)), pa.array(shares.argmax(axis=1).astype(np.int32)), pa.array(p[:, 0]), pa.array((p[:, 0] >= 0.5).astype(np.int32))]
+            columns = [pa.array(p.sum(axis=1)), pa.array(shares.argmax(axis=1).astype(np.int32)), pa.array(p[:, 0]), pa.array((p[:, 0] >= THRESHOLD).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([b.column(key), *columns], names=[key, "expected_severity", "severity", "p_toxic", "predicted"])
 
     return docs.select(key, F.col(text).alias("__text")).mapInArrow(run, f"`{key}` {kind}, expected_severity double, severity int, p_toxic double, predicted int")
