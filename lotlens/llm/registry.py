@@ -8,6 +8,7 @@ from .language_id import op3_language_id
 from .license_scan import op6_license_scan
 from .near_duplicates import op5_near_duplicates
 from .quality import op2_quality
+from .repeated_passages import op10_repeated_passages
 from .secret_scan import op1_secret_scan
 from .sentencepiece_bpe import op4_sentencepiece
 from .toxicity import op8_toxicity
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_embedding_duplicates": op7_embedding_duplicates,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
+    "op10_repeated_passages": op10_repeated_passages,
 }
 ORACLE: dict[str, str] = {
     "op9_decontamination": OP9_SQL,
