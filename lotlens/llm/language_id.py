@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -166,6 +167,16 @@ def predict(docs: DataFrame, profiles: Profiles, keys: list[str], text: str = "t
     return docs.select(*keys, F.col(text).alias("__text")).mapInArrow(run, f"{fields}, lang_pred string, score double, cosine double")
 
 
+def recognised(profiles: Profiles, text: Column) -> Column:
+    """Whether a language was found: there is a letter, and the best prototype isn't at a right angle or beyond."""
+
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([lang != UNDETERMINED and cosine > 0 for lang, _, cosine in profiles.predict([t or "" for t in texts])], dtype=bool)
+
+    return run(text)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     profiles = fit(docs, fold() != 0)

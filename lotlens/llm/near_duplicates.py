@@ -153,6 +153,23 @@ def _across(met: DataFrame, joined: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs but for near copies: of each class the row with the least id stays.
+
+    Of several rows with one id one stays, the least by text; rows with a null id stay, as nothing tells them apart.
+    """
+    found = cut(classes(docs, key, text).groupBy("id").agg(F.min("class_id").alias("class_id"), F.count(F.lit(1)).alias("n")).filter(F.col("id").isNotNull()))
+    gone = found.filter(F.col("id") != F.col("class_id")).select(F.col("id").alias(key))
+    left = docs.join(F.broadcast(gone) if gone.count() <= 5 * BROADCAST_ROWS else gone, key, "left_anti")
+    several = found.filter((F.col("id") == F.col("class_id")) & (F.col("n") > 1)).select(F.col("id").alias(key))
+    if not (n := several.count()):
+        return left
+    several = F.broadcast(several) if n <= 5 * BROADCAST_ROWS else several
+    row = F.struct(F.coalesce(text, F.lit("")).alias("__t"), *docs.columns)
+    single = left.join(several, key, "left_semi").groupBy(F.col(key).alias("__k")).agg(F.min(row).alias("r")).select("r.*").select(*docs.columns)
+    return left.join(several, key, "left_anti").select(*docs.columns).unionByName(single)
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = classes(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "class_id", (F.col("id") == F.col("class_id")).alias("kept"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import cut, small_batches, table
 
 #: Rules that findings of any text are judged by; (kind, version, pattern, flags, group whose length counts, least).
 BASE = (
@@ -111,19 +111,24 @@ def findings_by_path(versions: DataFrame, ledger: DataFrame, path: str = "path",
     return names.join(one, "blob", "left").select(path, "blob", F.coalesce("findings", F.array().cast(FINDING)).alias("findings"))
 
 
-def redact(text: str, rules: tuple = RULES, mask: str = "[secret]") -> str:
-    """The text with each finding, overlapping ones as one, replaced by the mask."""
-    out, last = [], 0
-    spans: list[list[int]] = []
-    for f in find(text, list(rules)):
-        if spans and f["start"] < spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], f["end"])
-        else:
-            spans.append([f["start"], f["end"]])
-    for s, e in spans:
-        out += [text[last:s], mask]
-        last = e
-    return "".join([*out, text[last:]])
+def redacted(docs: DataFrame, ledger: DataFrame, text: str = "text", mask: str = "[secret]", limit: int = 200_000) -> DataFrame:
+    """docs with each finding in the text, overlapping ones as one, replaced by the mask. Rows and columns stay.
+
+    Blobs with findings are few; they are broadcast if counted within the limit, else joined by shuffle.
+    """
+    found = cut(ledger.filter(F.size("findings") > 0).select("blob", F.explode("findings").alias("f")).groupBy("blob").agg(F.array_sort(F.collect_set(F.struct("f.start", "f.end"))).alias("__spans")))
+    near = F.broadcast(found) if found.count() <= limit else found
+    t = F.col(text)
+
+    def step(acc: Column, x: Column) -> Column:
+        fresh = x["start"] >= acc["at"]
+        out = F.when(fresh, F.concat(acc["out"], F.substring(t, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"])
+        return F.struct(out.alias("out"), F.greatest(acc["at"], x["end"]).alias("at"))
+
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    masked = F.aggregate("__spans", start, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
+    named = docs.withColumn("__blob", blob_name(text)).join(near.withColumnRenamed("blob", "__blob"), "__blob", "left")
+    return named.withColumn(text, F.when(F.size("__spans") > 0, masked).otherwise(t)).select(*docs.columns)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

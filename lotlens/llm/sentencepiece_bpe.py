@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import pieces, small_batches, table
 
@@ -66,7 +67,7 @@ class Bpe:
         self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()], np.int64)
         self.made = np.array([pairs[k][1] for k in self.keys.tolist()], np.int64)
         self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if self.cut_at_marks else r"(?s:.+)")
-        self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.known: dict[str, tuple[int, str, bytes, bytes]] = {}
 
     def merge_rounds(self, words: list[str], one_by_one: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """The symbols of all words, in order, once no pair remains, and how many each word has."""
@@ -147,8 +148,8 @@ class Bpe:
     def split(self, text: str) -> list[str]:
         return self.words.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def learn(self, words: set[str], keep: int = 300_000, longest: int = 64) -> dict[str, tuple[int, str, bytes]]:
-        """(ids, their spelling, what they decode to) of each word; words of a common length are kept for later."""
+    def learn(self, words: set[str], keep: int = 300_000, longest: int = 64) -> dict[str, tuple[int, str, bytes, bytes]]:
+        """(ids, their spelling, what they decode to, the ids as int32) of each word; words of a common length are kept for later."""
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > keep:
             self.known.clear()
@@ -156,9 +157,10 @@ class Bpe:
         known = self.known
         held = {w: known[w] for w in words if w in known}
         ids, counts = self.to_ids(*self.merge_rounds(new))
+        raw = np.array(ids, np.int32).tobytes()
         names, spelled, at = [self.names[i] for i in ids], [self.spelled[i] for i in ids], 0
         for w, n in zip(new, counts, strict=True):
-            held[w] = (n, " ".join(names[at : at + n]), b"".join(spelled[at : at + n]))
+            held[w] = (n, " ".join(names[at : at + n]), b"".join(spelled[at : at + n]), raw[4 * at : 4 * (at + n)])
             at += n
         if longest:
             self.known.update((w, held[w]) for w in new if len(w) <= longest)
@@ -205,55 +207,53 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
-def digests(bpe: Bpe, texts: list[str], chars: int = 1_500_000) -> Iterator[tuple[int, str, str]]:
-    """(ids, SHA-256 of their spelling, SHA-256 of the decoded text) of each text, some at a time."""
+def encoded(bpe: Bpe, texts: list[str], chars: int = 1_500_000) -> Iterator[tuple[int, str, bytes, bytes]]:
+    """(how many ids, their spelling, the ids as int32, the decoded text in UTF-8) of each text, some at a time."""
+    end = np.array([bpe.eos], np.int32).tobytes()
     for part in pieces([(t,) for t in texts], chars):
         split = [bpe.split(t) for (t,) in part]
         held = bpe.learn(set().union(*split))
         for words in split:
             got = [held[w] for w in words]
-            spelled = " ".join([*[g[1] for g in got], str(bpe.eos)])
             raw = b"".join([g[2] for g in got])
             try:
                 raw.decode()
                 raw = raw[1:] if raw[:1] == b" " else raw
             except UnicodeDecodeError:
                 raw = _text(raw).encode()
-            yield sum([g[0] for g in got]) + 1, hashlib.sha256(spelled.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()
+            yield sum([g[0] for g in got]) + 1, " ".join([*[g[1] for g in got], str(bpe.eos)]), b"".join([*[g[3] for g in got], end]), raw
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "token_ids", decoded: str | None = None) -> DataFrame:
-    """The input's columns plus the array of ids (end id last) and, if named, the decoded text. No shuffle."""
-    from pyspark.sql import functions as F
-    from pyspark.sql import types as T
+def encode_documents(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", with_ids: bool = True, with_text: bool = False) -> DataFrame:
+    """key, n_tokens, ids_sha256, decoded_sha256 and, if wanted, token_ids and decoded, of every row. No shuffle.
 
+    The end id is the last id; the digests are those of the decimal ids joined by spaces and of the decoded text.
+    """
     small_batches(docs.sparkSession)
     where = path or tokenizer_path()
-    kind = T.StructType([T.StructField("i", T.ArrayType(T.IntegerType())), T.StructField("d", T.StringType())])
-
-    @F.pandas_udf(kind)
-    def run(texts):
-        import pandas as pd
-
-        bpe, rows = model(where), []
-        for (t,) in ((x or "",) for x in texts):
-            bpe_words = bpe.split(t)
-            held = bpe.learn(set(bpe_words))
-            rows.append(([int(x) for w in bpe_words for x in held[w][1].split()] + [bpe.eos], _text(b"".join([held[w][2] for w in bpe_words]))))
-        return pd.DataFrame(rows, columns=["i", "d"])
-
-    made = docs.withColumn("__made", run(F.col(text))).withColumn(ids, F.col("__made.i"))
-    return (made.withColumn(decoded, F.col("__made.d")) if decoded else made).drop("__made")
-
-
-def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
-    where = tokenizer_path()
+    more = [("token_ids array<int>",)] * with_ids + [("decoded string",)] * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = list(digests(model(where), [t or "" for t in b.column("text").to_pylist()]))
-            n, i, d = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            n, i, d, raw, texts = [], [], [], [], []
+            for count, spelled, ids, decoded in encoded(model(where), [t or "" for t in b.column("__text").to_pylist()]):
+                n.append(count)
+                i.append(hashlib.sha256(spelled.encode()).hexdigest())
+                d.append(hashlib.sha256(decoded).hexdigest())
+                if with_ids:
+                    raw.append(ids)
+                if with_text:
+                    texts.append(decoded.decode())
+            columns = [b.column(key), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n, dtype=np.int64))).astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), np.int32))))
+            if with_text:
+                columns.append(pa.array(texts, pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "n_tokens", "ids_sha256", "decoded_sha256", *(x[0].split()[0] for x in more)])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, F.col(text).alias("__text")).mapInArrow(run, ", ".join([f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", *(x[0] for x in more)]))
 
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), with_ids=False)
