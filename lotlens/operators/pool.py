@@ -1,0 +1,57 @@
+"""Comparable pools: which other offers a price is judged by.
+
+The band join on year is an equality on exploded years, so it shuffles by (make, model, year) and a popular model is
+spread over its years; what else bounds a pair is a residual condition.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+YEAR_TOLERANCE, KM_TOLERANCE = 1, 0.25
+LEVELS = ("trim_gearbox", "gearbox", "model")
+
+
+def within_or_unknown(mine: Column, theirs: Column, tolerance: float) -> Column:
+    """A bound that a missing value on either side passes."""
+    return mine.isNull() | theirs.isNull() | F.abs(theirs - mine).between(0, mine * tolerance)
+
+
+def comparable_pairs(targets: DataFrame, pool: DataFrame, year_tolerance: int = YEAR_TOLERANCE, km_tolerance: float = KM_TOLERANCE) -> DataFrame:
+    """(id, pool columns with the prefix c_) of targets (id, make, model, year, km) and the pool offers near them."""
+    spread = F.explode(F.sequence(F.col("year") - year_tolerance, F.col("year") + year_tolerance))
+    wide = targets.select("id", "make", "model", "km", "trim", "gearbox", "price", spread.alias("year"))
+    theirs = pool.select("make", "model", "year", *[F.col(c).alias(f"c_{c}") for c in ("id", "km", "price", "trim", "gearbox", "source", "seller")])
+    near = within_or_unknown(F.col("km"), F.col("c_km"), km_tolerance)
+    return wide.join(theirs, ["make", "model", "year"]).filter((F.col("id") != F.col("c_id")) & near)
+
+
+def above_floor(pairs: DataFrame, share: float = 0.35) -> DataFrame:
+    """Without prices under a share of the pool's upper quartile: typing errors and down payments."""
+    floor = pairs.groupBy("id").agg((F.percentile("c_price", F.lit(0.75)) * share).alias("floor"))
+    return pairs.join(floor, "id").filter(F.col("c_price") >= F.col("floor"))
+
+
+def price_reference(pairs: DataFrame, least: int = 5) -> DataFrame:
+    """The cascade: for each target the narrowest level with enough offers, the whole model whatever it has.
+
+    One aggregation gives all levels, as filtered percentiles, so pairs are shuffled once.
+    """
+    same = {"trim_gearbox": (F.col("trim") == F.col("c_trim")) & (F.col("gearbox") == F.col("c_gearbox")), "gearbox": F.col("gearbox") == F.col("c_gearbox"), "model": F.lit(True)}
+    aggs = []
+    for level, on in same.items():
+        price = F.when(on, F.col("c_price"))
+        aggs += [F.count(price).alias(f"n_{level}"), F.percentile(price, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"p_{level}"), F.percentile(F.when(on, F.col("c_km")), F.lit(0.5)).alias(f"km_{level}")]
+    wide = pairs.groupBy("id").agg(F.first("price").alias("price"), *aggs)
+    chosen = F.lit(LEVELS[-1])
+    for level in LEVELS[-2::-1]:
+        chosen = F.when(F.col(f"n_{level}") >= least, F.lit(level)).otherwise(chosen)
+
+    def of(prefix: str) -> Column:
+        out = F.col(f"{prefix}_{LEVELS[-1]}")
+        for level in LEVELS[-2::-1]:
+            out = F.when(F.col("level") == level, F.col(f"{prefix}_{level}")).otherwise(out)
+        return out
+
+    return wide.withColumn("level", chosen).select("id", "price", "level", of("n").alias("n"), of("p").alias("p"), of("km").alias("median_km"))

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import demand, ingest, matching, metrics, pricing, relational, text, tracks  # noqa: F401
+from .base import ORACLE, QUERIES  # noqa: F401
