@@ -6,10 +6,11 @@ and a document's processes end once the next arrivals are later than all compone
 documents agree on a component with the probability Jaccard of their weights.
 
 Texts with the same words in the same order are one class from the start. Classes meet in the buckets of BANDS bands of
-ROWS components. In each bucket one member, drawn anew in each band, is compared with all others, so a group of any
-size costs its size times the bands, not its square. Where a bucket still holds several components after that, each
-member outside the bucket's largest component is compared with all members of other components: no link that a bucket
-could show is lost. Each comparison is the exact Jaccard of the distinct shingles, 0.8 or more.
+ROWS components. In each bucket the most typical member, the one that meets most others in all its buckets, is compared
+with the rest, so a group of any size costs its size and not its square. Where a bucket still holds several components
+after that, each member outside the bucket's largest component is compared with those of other components that it can
+still reach by a bound on shared shingles: no link that a bucket could show is lost. Each comparison is the exact
+Jaccard of the distinct shingles, 0.8 or more.
 
 Cases: texts without words are copies if they are equal, null being the empty text; texts of fewer than five words are
 one shingle; rows with a null id get the class of their text, null if no row of it has an id; repeated ids are separate
@@ -126,14 +127,17 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     worded = signed.groupBy("wording").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
     worded = cut(worded)
     members = worded.filter(F.col("rep").isNotNull()).select("rep", F.explode("bands").alias("bucket"))
-    draw = F.struct(F.xxhash64("rep", "bucket").alias("x"), F.col("rep").alias("rep"))
-    buckets = members.groupBy("bucket").agg(F.min(draw).alias("c"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("bucket", F.col("c.rep").alias("center"))
-    met = cut(members.join(buckets, "bucket"))
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    shared = cut(members.join(sizes, "bucket"))
+    usual = shared.groupBy("rep").agg(F.sum("n").alias("total"))
+    met = cut(shared.select("bucket", "rep").join(usual, "rep"))
+    centers = met.groupBy("bucket").agg(F.max(F.struct("total", (-F.col("rep")).alias("r"), F.col("rep").alias("rep"))).alias("c")).select("bucket", F.col("c.rep").alias("center"))
+    starred = met.join(centers, "bucket").filter(F.col("rep") != F.col("center"))
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    pairs = cut(met.filter(F.col("rep") != F.col("center")).select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b")).distinct())
+    pairs = cut(starred.select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b")).distinct())
     links = cut(verified(pairs, texts, threshold).select("a", "b"))
     joined = cut(components(links))
-    rest = cut(_across(met, joined).join(pairs, ["a", "b"], "left_anti"))
+    rest = cut(_across(met, joined, texts, threshold).join(pairs, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
         links = links.unionByName(verified(rest, texts, threshold).select("a", "b"))
         joined = components(links)
@@ -142,15 +146,34 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     return signed.select("id", "wording").join(named, "wording").select("id", "class_id")
 
 
-def _across(met: DataFrame, joined: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a bucket but no component, one of the two outside the bucket's largest component."""
+def _across(met: DataFrame, joined: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) that share a bucket but no component and may reach the threshold.
+
+    A shingle that no other member of these buckets has can't be shared. With s of n shingles left, two members' overlap
+    is at most the lesser s, which bounds their Jaccard; a copy with its own changes in over a fifth of its shingles
+    drops out before any pair is made. The bound is exact: no pair that it takes out reaches the threshold.
+    """
     placed = met.join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
+    mixed = cut(_mixed(placed))
+    reps = cut(mixed.select(F.col("rep").alias("id")).distinct())
+    near = F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps
+    sets = cut(shingle_sets(texts.join(near, "id", "left_semi")).dropDuplicates(["id"]).select(F.col("id").alias("rep"), F.explode("h").alias("h")))
+    common = sets.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > 1).select("h", F.lit(1).alias("common"))
+    spans = sets.join(common, "h", "left").groupBy("rep").agg(F.count(F.lit(1)).alias("n"), F.count("common").alias("s"))
+    able = spans.filter(F.col("s") >= F.col("n") * threshold - 1e-9)
+    left = cut(_mixed(mixed.select("bucket", "rep", "component").join(able, "rep"), "n", "s"))
+    minor = left.filter(F.col("component") != F.col("largest")).select("bucket", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("s").alias("sx"))
+    other = left.select("bucket", F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("s").alias("sy"))
+    most = F.least("sx", "sy")
+    pairs = minor.join(other, "bucket").filter((F.col("cx") != F.col("cy")) & (most >= threshold * (F.col("nx") + F.col("ny") - most) - 1e-9))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _mixed(placed: DataFrame, *more: str) -> DataFrame:
+    """The rows (bucket, rep, component) of buckets with several components, and each bucket's largest."""
     sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     top = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("t"), F.count(F.lit(1)).alias("k")).filter(F.col("k") > 1).select("bucket", F.col("t.component").alias("largest"))
-    mixed = cut(placed.join(top, "bucket"))
-    minor = mixed.filter(F.col("component") != F.col("largest")).select("bucket", F.col("rep").alias("x"), F.col("component").alias("cx"))
-    pairs = minor.join(mixed.select("bucket", F.col("rep").alias("y"), F.col("component").alias("cy")), "bucket").filter(F.col("cx") != F.col("cy"))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return placed.join(top, "bucket").select("bucket", "rep", "component", *more, "largest")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
