@@ -47,7 +47,7 @@ def keyword_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 WITH p AS (SELECT p_partkey, p_name, p_type, CASE WHEN regexp_matches(lower(p_name), '\b(ring|gear)\b') THEN 'part' WHEN regexp_matches(lower(p_name), '\b(widget|bolt)\b') THEN 'tool' WHEN regexp_matches(lower(p_type), 'small|economy') THEN 'light' WHEN regexp_matches(lower(p_type), 'large') THEN 'heavy' END AS kind FROM part)
-SELECT p_partkey, kind, CASE WHEN kind IN ('part', 'tool') THEN 0.9 WHEN kind IS NOT NULL THEN 0.65 ELSE 0.35 END AS confidence FROM p
+SELECT p_partkey, kind, CASE WHEN kind IN ('part', 'tool') THEN 0.9::DOUBLE WHEN kind IS NOT NULL THEN 0.65::DOUBLE ELSE 0.35::DOUBLE END AS confidence FROM p
 """)
 def kind_resolution_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The name settles the kind if it can, else the type; confidence says which did."""
