@@ -13,8 +13,9 @@ equal windows have equal anchors. Hence:
 3. What is left are first segments that share an anchor with other contents, around the ends of repeats. Their bytes
    are gathered by anchor, put in suffix order (ranks of prefixes by doubling), and previous and next smaller positions
    in that order give each start's longest previous factor; starts with a factor of LENGTH go.
-4. An anchor with more than GROUP such contents (a passage that many texts share, with other surroundings) is not
-   gathered: its windows are hashed and the first of each is found by a combining aggregation and a join.
+4. An anchor with more than GROUP such contents (a passage that a great many texts share, with other surroundings) is
+   not gathered, as it has no bound: its windows are hashed and the first of each is found by a combining aggregation
+   and a join that Spark can split.
 
 Cases: null is the empty text; texts under LENGTH bytes lose nothing and take nothing; rows with a null id come before
 all others; rows with one id come in the order of their SHA-256, equal rows one after the other; empty tables give
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import cut, mix64, small_batches, table
 
 LENGTH, GRAM = 100, 32
-GROUP = 64
+GROUP = 16_384  # contents of one anchor that a task takes at once: about 130 bytes each, so 2 MB
 CHUNK = 600_000  # bytes of segments whose suffixes are ordered together
 BROADCAST_ROWS = 1_000_000
 
@@ -140,7 +141,7 @@ def longest_previous_factor(data: np.ndarray, starts: np.ndarray, limit: int) ->
             place = starts + at
             keys.append(np.where(place < len(data), ranks[k][np.minimum(place, len(data) - 1)], 0))
             at, left = at + (1 << k), left - (1 << k)
-    order = np.lexsort((np.arange(len(starts)), *keys[::-1]))
+    order = np.lexsort((np.arange(len(starts)), *keys[::-1])).astype(np.int32)
     out = np.zeros(len(starts), np.int64)
     for near in smaller_neighbours(order):
         has = near >= 0
