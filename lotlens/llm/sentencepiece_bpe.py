@@ -5,8 +5,8 @@ for each batch, and all new words are merged together: the symbols of all words
 looks up every neighbouring pair, takes the least rank within each word (a segmented minimum), merges all its leftmost
 non-overlapping places at once, and compacts the array, until no pair remains.
 
-Merging equal pairs at once equals merging one by one unless a new pair outranks the one just merged; a word where
-that shows is encoded again with one merge a round.
+Merging equal pairs at once equals merging one by one unless a new pair ranks as high as the one just merged; a word
+where that shows, or could have shown between neighbouring places, is encoded again with one merge a round.
 
 Cases: null is the empty text, with the end id alone; characters outside the vocabulary become byte ids; rows are
 independent, so repeated rows and further columns change nothing. Only identity normalisation is supported, and
@@ -85,7 +85,7 @@ class Bpe:
             seg = np.repeat(np.arange(len(word)), n)
             rank[start + n - 1] = _NEVER
             least = np.minimum.reduceat(rank, start)
-            odd = several & (least < last)
+            odd = several & (least <= last) & (least < _NEVER)
             done = (least == _NEVER) & ~odd
             if odd.any():
                 again += word[odd].tolist()
@@ -101,6 +101,14 @@ class Bpe:
                 new[1:] |= where[1:] != where[:-1] + 1
                 run = np.maximum.accumulate(np.where(new, np.arange(len(where)), 0))
                 first = where[(np.arange(len(where)) - run) % 2 == 0]
+                side = np.flatnonzero((first[1:] == first[:-1] + 2) & (seg[first[1:]] == seg[first[:-1]]))
+                if len(side):  # would the left one's piece rather take the start of the right one?
+                    own = seg[first[side]]
+                    risky = np.unique(own[self.look_up(to[first[side]], sym[first[side + 1]])[0] <= least[own]])
+                    if len(risky):
+                        again += word[risky].tolist()
+                        go[risky] = False
+                        first = first[go[seg[first]]]
             sym[first] = to[first]
             keep = go[seg]
             keep[first + 1] = False
