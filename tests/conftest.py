@@ -14,7 +14,7 @@ def spark():
     from pyspark.sql import SparkSession
 
     local = tempfile.mkdtemp()
-    s = SparkSession.builder.master("local[8]").config("spark.driver.memory", "6g").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.sql.warehouse.dir", f"{local}/warehouse").config("spark.checkpoint.dir", f"{local}/checkpoints").getOrCreate()
+    s = SparkSession.builder.master("local[4]").config("spark.driver.memory", "6g").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.sql.warehouse.dir", f"{local}/warehouse").config("spark.checkpoint.dir", f"{local}/checkpoints").getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
