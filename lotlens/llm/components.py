@@ -1,10 +1,9 @@
 """Connected components of a graph given by its links, by repeated contraction.
 
-In each round every vertex points to the least of itself and its neighbours, and then twice to what that points to;
-links are rewritten to what their ends point to, and loops and repeats go. A star of any size is gone after two rounds
-and a chain of n after about log n, and no step needs the links of one vertex together: minima are combined before the
-shuffle. Each round is written to the
-checkpoint folder, so neither lineage nor the driver grows.
+In each round every vertex points to the least of itself and its neighbours, pointers are doubled until none moves, links
+are rewritten to what their ends point to, and loops and repeats go. A star of any size is gone after two rounds and a
+chain of n in order after one round of log n doublings; and no step needs the links of one vertex together: minima are
+combined before the shuffle. Each step is written to the checkpoint folder, so neither lineage nor the driver grows.
 """
 
 from __future__ import annotations
@@ -20,12 +19,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = cut(links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("a") != F.col("b"))).distinct())
     labels = None
     while edges.limit(1).count():
-        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("a").alias("to")), F.struct(F.col("b").alias("id"), F.col("a").alias("to")))).alias("e")).select("e.*")
-        points = ends.groupBy("id").agg(F.min("to").alias("to"))
-        for _ in range(2):
-            points = cut(points)
-            points = points.join(points.select(F.col("id").alias("to"), F.col("to").alias("up")), "to").select("id", F.col("up").alias("to"))
-        points = cut(points)
+        points = _roots(edges)
         if labels is None:
             labels = points.select("id", F.col("to").alias("component"))
         else:
@@ -33,3 +27,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         moved = edges.join(points.select(F.col("id").alias("a"), F.col("to").alias("x")), "a").join(points.select(F.col("id").alias("b"), F.col("to").alias("y")), "b")
         edges = cut(moved.filter(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     return labels if labels is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+
+
+def _roots(edges: DataFrame) -> DataFrame:
+    """(id, to): where each vertex gets by going to its least neighbour again and again, as long as that is less."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("a").alias("to")), F.struct(F.col("b").alias("id"), F.col("a").alias("to")))).alias("e")).select("e.*")
+    points = cut(ends.groupBy("id").agg(F.min("to").alias("to")))
+    while True:
+        further = points.select(F.col("id").alias("to"), F.col("to").alias("up"))
+        jumped = cut(points.join(further, "to").select("id", F.col("up").alias("to"), (F.col("up") != F.col("to")).alias("moved")))
+        points = jumped.select("id", "to")
+        if not jumped.filter("moved").limit(1).count():
+            return points
