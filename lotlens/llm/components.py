@@ -29,6 +29,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
+def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (id, component) once links (a, b) are added: only what the new links touch is contracted again."""
+    one = labels.select(F.col("id").alias("a"), F.col("component").alias("ca"))
+    two = labels.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+    ends = links.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    further = cut(components(ends))
+    renamed = labels.join(further.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    return renamed.unionByName(further.join(labels, "id", "left_anti").select("id", "component"))
+
+
 def _roots(edges: DataFrame) -> DataFrame:
     """(id, to): where each vertex gets by going to its least neighbour again and again, as long as that is less."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("a").alias("to")), F.struct(F.col("b").alias("id"), F.col("a").alias("to")))).alias("e")).select("e.*")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, mix64, pieces, shingle_hashes, small_batches, table, word_hashes
-from .components import components
+from .components import components, extended
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -139,8 +139,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     joined = cut(components(links))
     rest = cut(_across(met, joined, texts, threshold).join(pairs, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
-        links = links.unionByName(verified(rest, texts, threshold).select("a", "b"))
-        joined = components(links)
+        joined = extended(joined, cut(verified(rest, texts, threshold).select("a", "b")))
     named = worded.select("wording", "rep").join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left")
     named = named.select("wording", F.coalesce("component", "rep").alias("class_id"))
     return signed.select("id", "wording").join(named, "wording").select("id", "class_id")

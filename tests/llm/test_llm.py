@@ -278,6 +278,9 @@ def test_components(spark):
                 up[x] = up.get(v, v)
                 stack += near[x]
     assert got == up
+    some = [e for e in edges if None not in e]
+    first = components.components(spark.createDataFrame(some[::2], "a long, b long"))
+    assert {r["id"]: r["component"] for r in components.extended(first, spark.createDataFrame(some[1::2], "a long, b long")).collect()} == up
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
