@@ -158,7 +158,7 @@ def _texts(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(rid, raw) of the first rows of all texts, and (doc_id, rid, sha, n_bytes, copy) of all rows; rid orders texts."""
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw")).withColumn("sha", F.sha2("raw", 256))
     named = cut(rows.groupBy("doc_id", "sha").agg(F.count(F.lit(1)).alias("c"), F.max(F.octet_length("raw")).alias("n_bytes")))
-    clash = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("low")).agg(F.max("m").alias("m"), F.min("low").alias("low"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    clash = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("low"), F.max("c").alias("c")).agg(F.max("m").alias("m"), F.min("low").alias("low"), F.count_if(F.col("doc_id").isNull()).alias("nulls"), F.max("c").alias("c")).first()
     many, simple = clash["m"] or 1, (clash["m"] or 1) == 1 and not clash["nulls"]
     if simple:
         named = named.withColumn("rid", F.col("doc_id").cast("long"))
@@ -170,6 +170,10 @@ def _texts(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     copies = named.filter("copied").select("doc_id", "sha")
     if simple:
         firsts = rows.join(bounded(copies, copies.count()), ["doc_id", "sha"], "left_anti").select(F.col("doc_id").cast("long").alias("rid"), "raw")
+        if (clash["c"] or 1) > 1:  # rows repeated as a whole stand once; only their texts move
+            again = named.filter(~F.col("copied") & (F.col("c") > 1)).select("rid")
+            again = bounded(again, again.count())
+            firsts = firsts.join(again, "rid", "left_anti").unionByName(firsts.join(again, "rid", "left_semi").dropDuplicates(["rid"]))
     else:
         kept = named.filter(~F.col("copied")).select(F.col("doc_id").alias("d"), F.col("sha").alias("s"), "rid")
         firsts = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("sha") == F.col("s"))).select("rid", "raw").dropDuplicates(["rid"])

@@ -392,6 +392,17 @@ def test_repeats_equal_brute_force(spark, monkeypatch):
     assert get(empty(spark)) == []
 
 
+def test_rows_repeated_as_a_whole_stand_once(spark):
+    """No id has two texts and none is null: the repeat is the table's only oddity."""
+    rng = random.Random(15)
+    passage = words(rng, 60)
+    texts = [words(rng, 30) + passage + words(rng, 30) for _ in range(2)]
+    rows = [(1, texts[0]), (1, texts[0]), (2, texts[1]), (2, texts[1]), (3, texts[0]), (3, texts[0]), (4, words(rng, 50))]
+    found = repeated_passages.deduplicate(docs_of(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
+    got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found), key=repr)
+    assert got == brute_removed([(i, t.encode()) for i, t in rows])
+
+
 def test_longest_previous_factor():
     rng = random.Random(14)
     for _ in range(60):
