@@ -1,9 +1,10 @@
 """Near-duplicate documents by ProbMinHash, banding and exact verification.
 
-Documents are sets of shingles of five words, weighted 1 + ln(times). Each shingle is a Poisson process with its weight
-as rate, whose arrivals fall on the signature's components at random; a component keeps the shingle that arrives first,
-and a document's processes end once the next arrivals are later than all components (early termination). Two
-documents agree on a component with the probability Jaccard of their weights.
+Documents are sets of shingles of five words, all of weight one, however often a text repeats them: links are verified by
+the Jaccard of the sets, and so the search has to go by it. Each shingle is a Poisson process with its weight as rate,
+whose arrivals fall on the signature's components at random; a component keeps the shingle that arrives first, and a
+document's processes end once the next arrivals are later than all components (early termination). Two documents agree
+on a component with the probability Jaccard of their weights, which is the sets' own Jaccard where all are one.
 
 Texts with the same words in the same order are one class from the start. Classes meet in the buckets of BANDS bands of
 ROWS components. In each bucket the most typical member, the one that meets most others in all its buckets, is compared
@@ -87,8 +88,8 @@ def sign(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: int =
                 sets = []
                 for (t,) in part:
                     names.append(wording(t))
-                    e, n = np.unique(shingle_hashes(t, SHINGLE), return_counts=True)
-                    sets.append((e, 1 + np.log(n)))
+                    e = np.unique(shingle_hashes(t, SHINGLE))
+                    sets.append((e, np.ones(len(e))))
                 made = band_keys(signatures(sets, bands * rows), bands).view(np.int64).tolist()
                 keys += [k if len(s[0]) else [] for k, s in zip(made, sets, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "wording", "bands"])

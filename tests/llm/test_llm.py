@@ -240,6 +240,23 @@ def test_near_copies_equal_brute_force(spark, tmp_path):
     assert got == brute_classes(texts, range(len(texts)))
 
 
+def test_unequal_repeats_do_not_hide_links(spark, tmp_path):
+    """Near copies of which one repeats a passage 300 times: sets of a Jaccard over 0.8, very unlike by counts."""
+    rng = random.Random(16)
+    texts = []
+    for _ in range(40):
+        passage, rest = words(rng, 40), words(rng, 120).split()
+        texts.append(passage + " " + " ".join(rest))
+        rest[rng.randrange(10, 110)] = "changed"
+        rest[rng.randrange(10, 110)] = "altered"
+        texts.append(" ".join([passage] * 300) + " " + " ".join(rest))
+    want = brute_classes(texts, range(len(texts)))
+    assert sorted(set(want.values())) == list(range(0, len(texts), 2))
+    d = write(spark, tmp_path, documents=docs_of(spark, texts))
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates.op5_near_duplicates(spark, d).collect()}
+    assert got == want
+
+
 def test_one_of_each_keeps_columns_and_nulls(spark):
     texts, ids = ["a b c d e f", "a b c d e f", "x", "null id", "a b c d e f"], [4, 2, 7, None, 2]
     docs = docs_of(spark, texts, ids)
