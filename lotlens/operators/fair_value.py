@@ -1,16 +1,16 @@
 """Fair-value curves: a robust additive model of the log price for each make and model.
 
 log price = level of the year + premium of the trim + premium of the gearbox + slope * log(km / usual km). The terms are
-found by alternating medians of residuals. One (make, model) is fitted in one task; models with more offers than
-MOST_ROWS are first reduced to the medians of their (year, trim, gearbox, km step) cells, weighted by their counts, so
-no task holds an unbounded group.
+found by alternating medians of residuals. One (make, model) is fitted in one task, from the medians of its (year, trim,
+gearbox, km step) cells, weighted by their counts. What a curve is judged by is taken from the offers themselves: the
+quartiles of their residuals, their held-out errors and their cohorts' medians are exact percentiles over all offers.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST_YEAR, LEAST_LEVEL, LEAST_MODEL = 8, 15, 150
@@ -19,7 +19,8 @@ SLOPE = (-0.35, 0.0)
 PASSES, STOP = 4, 0.005
 HYSTERESIS = 1.05
 CELLS_PER_KM = 1.0
-CURVE = "make string, model string, n long, usual_km double, slope double, years map<int,double>, trims map<string,double>, gearboxes map<string,double>, q25 double, q75 double"
+CURVE = "make string, model string, n long, usual_km double, slope double, starts map<int,double>, years map<int,double>, trims map<string,double>, gearboxes map<string,double>"
+TERMS = ["n", "usual_km", "slope", "starts", "years", "trims", "gearboxes"]
 
 
 def weighted_median(x: np.ndarray, w: np.ndarray) -> float:
@@ -72,9 +73,7 @@ def fit(pdf: pd.DataFrame) -> dict | None:
         now = of(years, year) + of(trims, trim) + of(gears, gear) + slope * x
         if np.abs(now - before).max() < STOP:
             break
-    rest = y - (of(years, year) + of(trims, trim) + of(gears, gear) + slope * x)
-    q25, q75 = (float(np.quantile(rest, q)) for q in (0.25, 0.75))
-    return {"n": int(w.sum()), "usual_km": float(usual), "slope": slope, "years": {int(k): v for k, v in years.items()}, "trims": trims, "gearboxes": gears, "q25": q25, "q75": q75}
+    return {"n": int(w.sum()), "usual_km": float(usual), "slope": slope, "starts": {int(k): v for k, v in start.items()}, "years": {int(k): v for k, v in years.items()}, "trims": trims, "gearboxes": gears}
 
 
 def predict(curve: dict, pdf: pd.DataFrame) -> np.ndarray:
@@ -90,52 +89,56 @@ def cells(offers: DataFrame, *more: str) -> DataFrame:
     return offers.groupBy("make", "model", "year", "trim", "gearbox", step.alias("km"), *more).agg(F.percentile("price", F.lit(0.5)).alias("price"), F.count(F.lit(1)).alias("w"))
 
 
+def fair_price() -> Column:
+    """The fair price of an offer joined with its curve; null where the curve has no level for its year."""
+    x = F.when(F.col("km") > 0, F.log(F.col("km") / F.col("usual_km"))).otherwise(0.0)
+    zero = F.lit(0.0)
+    return F.exp(F.try_element_at("years", "year") + F.coalesce(F.try_element_at("trims", F.col("trim").cast("string")), zero) + F.coalesce(F.try_element_at("gearboxes", F.col("gearbox").cast("string")), zero) + F.col("slope") * x)
+
+
 def fit_curves(offers: DataFrame) -> DataFrame:
+    """The curves, and the quartiles of the residuals of all offers within BAND of their year's median."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         curve = fit(pdf)
         rows = [] if curve is None else [{"make": pdf["make"].iloc[0], "model": pdf["model"].iloc[0], **curve}]
-        return pd.DataFrame(rows, columns=["make", "model", "n", "usual_km", "slope", "years", "trims", "gearboxes", "q25", "q75"])
+        return pd.DataFrame(rows, columns=["make", "model", *TERMS])
 
-    return cells(offers).groupBy("make", "model").applyInPandas(run, CURVE)
+    curves = cells(offers).groupBy("make", "model").applyInPandas(run, CURVE)
+    ratio = F.col("price") / F.exp(F.try_element_at("starts", "year"))
+    rest = F.log(F.col("price") / fair_price())
+    near = offers.join(curves, ["make", "model"]).filter(F.col("price") > 0).filter(ratio.between(*BAND))
+    quartiles = near.groupBy("make", "model").agg(F.percentile(rest, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    return curves.join(quartiles, ["make", "model"], "left").withColumns({"q25": F.get("q", F.lit(0)), "q75": F.get("q", F.lit(1))}).drop("q")
 
 
 def value(offers: DataFrame, curves: DataFrame) -> DataFrame:
     """offers plus fair, fair_low, fair_high and diff_pct; a column expression over the joined curve, no Python."""
-    x = F.when(F.col("km") > 0, F.log(F.col("km") / F.col("usual_km"))).otherwise(0.0)
-    level = F.try_element_at("years", "year")
-    zero = F.lit(0.0)
-    fair = F.exp(level + F.coalesce(F.try_element_at("trims", F.col("trim").cast("string")), zero) + F.coalesce(F.try_element_at("gearboxes", F.col("gearbox").cast("string")), zero) + F.col("slope") * x)
-    joined = offers.join(curves, ["make", "model"]).withColumn("fair", fair)
+    joined = offers.join(curves, ["make", "model"]).withColumn("fair", fair_price())
     made = {"fair_low": F.col("fair") * F.exp("q25"), "fair_high": F.col("fair") * F.exp("q75"), "diff_pct": (1 - F.col("price") / F.col("fair")) * 100}
-    return joined.withColumns(made).drop("n", "usual_km", "slope", "years", "trims", "gearboxes", "q25", "q75")
+    return joined.withColumns(made).drop(*TERMS, "q25", "q75")
 
 
 def gate(offers: DataFrame, folds: int = 5) -> DataFrame:
-    """(make, model, n, curve_error, cohort_error, enabled): median absolute log errors on the fold not fitted."""
-    held = cells(offers.withColumn("fold", F.pmod("id", F.lit(folds)).cast("int")), "fold")
+    """(make, model, n, curve_error, cohort_error, enabled): median absolute log errors of all offers of the fold not fitted."""
+    dealt = offers.withColumn("fold", F.pmod("id", F.lit(folds)).cast("int"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        errors, cohort, weights = [], [], []
+        rows = []
         for k in range(folds):
-            train, test = pdf[pdf["fold"] != k], pdf[pdf["fold"] == k]
-            curve = fit(train) if len(train) and len(test) else None
-            if curve is None:
-                continue
-            fair = predict(curve, test)
-            medians = train.groupby("year")["price"].median()
-            usual = test["year"].map(medians).to_numpy(float)
-            price = test["price"].to_numpy(float)
-            ok = ~np.isnan(fair) & ~np.isnan(usual)
-            errors.append(np.abs(np.log(price[ok] / fair[ok])))
-            cohort.append(np.abs(np.log(price[ok] / usual[ok])))
-            weights.append(test["w"].to_numpy(float)[ok])
-        n = int(pdf["w"].sum())
-        if not errors or not sum(map(len, errors)):
-            rows = [(pdf["make"].iloc[0], pdf["model"].iloc[0], n, None, None, False)]
-        else:
-            w = np.concatenate(weights)
-            e, c = weighted_median(np.concatenate(errors), w), weighted_median(np.concatenate(cohort), w)
-            rows = [(pdf["make"].iloc[0], pdf["model"].iloc[0], n, round(e, 6), round(c, 6), bool(n >= LEAST_MODEL and e * HYSTERESIS <= c))]
-        return pd.DataFrame(rows, columns=["make", "model", "n", "curve_error", "cohort_error", "enabled"])
-
-    return held.groupBy("make", "model").applyInPandas(run, "make string, model string, n long, curve_error double, cohort_error double, enabled boolean")
+            train = pdf[pdf["fold"] != k]
+            curve = fit(train) if len(train) else None
+            if curve is not None:
+                rows.append({"make": pdf["make"].iloc[0], "model": pdf["model"].iloc[0], "fold": k, **curve})
+        return pd.DataFrame(rows, columns=["make", "model", "fold", *TERMS])
+
+    curves = cells(dealt, "fold").groupBy("make", "model").applyInPandas(run, CURVE.replace("n long", "fold int, n long"))
+    others = [F.percentile(F.when(F.col("fold") != k, F.col("price")), F.lit(0.5)) for k in range(folds)]
+    cohorts = dealt.groupBy("make", "model", "year").agg(F.array(*others).alias("usual"))
+    held = dealt.join(curves.drop("n"), ["make", "model", "fold"]).join(cohorts, ["make", "model", "year"])
+    priced = held.select("make", "model", "price", fair_price().alias("fair"), F.get("usual", F.col("fold")).alias("usual")).filter("price > 0 AND fair IS NOT NULL AND usual > 0")
+    error = lambda c: F.percentile(F.abs(F.log(F.col("price") / F.col(c))), F.lit(0.5))
+    errors = priced.groupBy("make", "model").agg(error("fair").alias("e"), error("usual").alias("c"))
+    enabled = (F.col("n") >= LEAST_MODEL) & F.coalesce(F.col("e") * HYSTERESIS <= F.col("c"), F.lit(False))
+    sized = dealt.groupBy("make", "model").agg(F.count(F.lit(1)).alias("n"))
+    return sized.join(errors, ["make", "model"], "left").select("make", "model", "n", F.round("e", 6).alias("curve_error"), F.round("c", 6).alias("cohort_error"), enabled.alias("enabled"))

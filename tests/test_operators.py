@@ -82,6 +82,34 @@ def test_fair_value_recovers_coefficients():
     assert np.median(np.abs(np.log(np.exp(y) / fair))) < 0.035
 
 
+def test_gate_and_band_are_judged_by_offers(spark):
+    """Many offers in each cell: the spread within cells counts, and the cohorts' medians are those of offers."""
+    rng = np.random.default_rng(2)
+    n = 1200
+    year = rng.integers(2010, 2013, n)
+    km = rng.choice([10.0, 20.0, 30.0], n, p=[0.7, 0.2, 0.1])
+    price = np.exp(9 + 0.1 * (year - 2010) - 0.1 * np.log(km / 10) + rng.normal(0, 0.2, n))
+    rows = [(i, "a", "m", int(y), "t", "g", float(k), float(p)) for i, (y, k, p) in enumerate(zip(year, km, price, strict=True))]
+    offers = spark.createDataFrame(rows, "id long, make string, model string, year int, trim string, gearbox string, km double, price double")
+    pdf = offers.toPandas()
+    pdf["fold"] = pdf["id"] % 5
+    cell = lambda df, *more: df.groupby(["year", "trim", "gearbox", "km", *more]).agg(price=("price", "median"), w=("price", "size")).reset_index()
+    curve_errors, cohort_errors = [], []
+    for k in range(5):
+        held, rest = pdf[pdf["fold"] == k], pdf[pdf["fold"] != k]
+        fair = fair_value.predict(fair_value.fit(cell(rest, "fold")), held)
+        curve_errors.append(np.abs(np.log(held["price"] / fair)))
+        cohort_errors.append(np.abs(np.log(held["price"] / held["year"].map(rest.groupby("year")["price"].median()))))
+    got = fair_value.gate(offers).first()
+    want = [float(np.median(np.concatenate(x))) for x in (curve_errors, cohort_errors)]
+    assert got["n"] == n and np.allclose([got["curve_error"], got["cohort_error"]], want, atol=2e-6)
+    assert got["enabled"] == (want[0] * fair_value.HYSTERESIS <= want[1])
+    fair = fair_value.predict(fair_value.fit(cell(pdf)), pdf)
+    low, high = np.quantile(np.log(pdf["price"] / fair), [0.25, 0.75])
+    curve = fair_value.fit_curves(offers).first()
+    assert np.allclose([curve["q25"], curve["q75"]], [low, high], atol=1e-9)
+
+
 def test_upsert_keeps_and_logs(spark):
     schema = "k string, price double, status string, seq int"
     now = spark.createDataFrame([("a", 1.0, "x", 1), ("b", 2.0, "x", 1), (None, 3.0, "x", 1)], schema)
