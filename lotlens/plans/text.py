@@ -21,6 +21,13 @@ def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.plain(F.substring("text", 1, 200)).alias("plain"), F.length("text").cast("bigint").alias("n"), F.size(F.split(T.plain(F.col("text")), " ")).cast("bigint").alias("words"))
 
 
+@query(f"SELECT doc_id, {_p('text')} AS plain, length(text) AS n, len(string_split({_p('text')}, ' ')) AS words FROM documents")
+def normalized_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of each text; normalized_text shows the first 200 characters only."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.plain(F.col("text")).alias("plain"), F.length("text").cast("bigint").alias("n"))
+    return docs.select("doc_id", "plain", "n", F.size(F.split("plain", " ")).cast("bigint").alias("words"))
+
+
 @query(r"""
 WITH p AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'USD ' || (p_partkey * 37) WHEN 1 THEN (p_partkey % 900 + 100) || '.500.000' WHEN 2 THEN (p_partkey % 90 + 1) || ',5 millones' WHEN 3 THEN '$ ' || p_partkey || ' mil' ELSE p_name END AS t FROM part),
 n AS (SELECT p_partkey, t, TRY_CAST(replace(replace(nullif(regexp_extract(t, '(\d{1,3}(?:\.\d{3})+(?:,\d+)?|\d+(?:,\d+)?)', 1), ''), '.', ''), ',', '.') AS DOUBLE) * CASE WHEN regexp_matches(t, '\d\s*millones\b') THEN 1000000 WHEN regexp_matches(t, '\d\s*mil\b') THEN 1000 ELSE 1 END AS amount FROM p)
