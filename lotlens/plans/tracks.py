@@ -139,6 +139,37 @@ def hamming_near_dupes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.distinct()
 
 
+@query("""
+WITH w AS (SELECT doc_id, string_split(lower(coalesce(text, '')), ' ') AS w FROM documents),
+s AS (SELECT doc_id, ('0x' || substr(md5(unnest([array_to_string(w[i : i + 2], ' ') FOR i IN range(1, greatest(len(w) - 1, 2))])), 1, 15))::BIGINT AS h FROM w),
+b AS (SELECT doc_id, i, sum(CASE WHEN (h >> i) & 1 = 1 THEN 1 ELSE -1 END) AS votes FROM s, (SELECT CAST(unnest(range(60)) AS INTEGER) AS i) GROUP BY doc_id, i),
+f AS (SELECT doc_id, CAST(sum(CASE WHEN votes > 0 THEN 1::BIGINT << i ELSE 0 END) AS BIGINT) AS h FROM b GROUP BY doc_id),
+c AS (SELECT h, min(doc_id) AS first FROM f GROUP BY h)
+SELECT first AS a, doc_id AS b, 0 AS distance FROM f JOIN c USING (h) WHERE doc_id <> first
+UNION ALL
+SELECT least(x.first, y.first), greatest(x.first, y.first), CAST(bit_count(xor(x.h, y.h)) AS INTEGER) FROM c x JOIN c y ON x.h < y.h AND bit_count(xor(x.h, y.h)) <= 3
+""")
+def hamming_near_dupes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all shingles of three words of the whole text: 60 bits, each by the votes of the shingles' hashes.
+
+    Equal fingerprints are a class: each member stands beside the least id, at distance 0. Pairs at distances 1 to 3 are
+    made between distinct fingerprints only; with 3 differing bits in 4 parts of 15, one part at least is equal.
+    """
+    words = F.split(F.lower(F.coalesce("text", F.lit(""))), " ")
+    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
+    made = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.conv(F.substring(F.md5(F.array_join(F.slice("w", i, 3), " ").cast("binary")), 1, 15), 16, 10).cast("bigint"))
+    hashes = docs.select("doc_id", F.explode(made).alias("h"))
+    votes = hashes.groupBy("doc_id").agg(*[F.sum(F.shiftright("h", i).bitwiseAND(1) * 2 - 1).alias(f"v{i}") for i in range(60)])
+    h = sum((F.when(F.col(f"v{i}") > 0, F.lit(1 << i)).otherwise(0).cast("bigint") for i in range(60)), F.lit(0).cast("bigint"))
+    prints = votes.select("doc_id", h.alias("h"))
+    firsts = prints.groupBy("h").agg(F.min("doc_id").alias("first"))
+    same = prints.join(firsts, "h").filter(F.col("doc_id") != F.col("first")).select(F.col("first").alias("a"), F.col("doc_id").alias("b"), F.lit(0).alias("distance"))
+    keyed = firsts.withColumn("k", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.shiftright("h", 15 * i).bitwiseAND(32767).alias("b")) for i in range(4)])))
+    met = keyed.select(F.col("first").alias("x"), F.col("h").alias("hx"), "k").join(keyed.select(F.col("first").alias("y"), F.col("h").alias("hy"), "k"), "k").filter("hx < hy")
+    near = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.bit_count(F.col("hx").bitwiseXOR(F.col("hy"))).cast("int").alias("distance")).filter("distance <= 3")
+    return same.unionByName(near.distinct())
+
+
 @query(f"""
 WITH {LISTINGS}, w AS (SELECT date_trunc('month', seen) AS m, source, seller, id, price FROM listings)
 SELECT strftime(m, '%Y-%m') AS month, source, count(*) AS n, count(DISTINCT seller) AS sellers, CAST(sum(CAST(price AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS worth,

@@ -8,3 +8,12 @@ def test_normalized_text_is_whole(spark, tmp_path):
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     r = QUERIES["normalized_text_whole"](spark, str(tmp_path)).first()
     assert (r["plain"], r["n"], r["words"]) == ("e " * 300 + "end", len(text), 301)
+
+
+def test_fingerprints_are_of_the_whole_text(spark, tmp_path):
+    one, two = " ".join(f"a{i}" for i in range(2000)), " ".join(f"b{i}" for i in range(2000))
+    texts = ["same " + one, "same " + two, "same " + one, "other " + one]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["a"], r["b"]): r["distance"] for r in QUERIES["hamming_near_dupes_whole"](spark, str(tmp_path)).collect()}
+    assert got.pop((0, 2)) == 0  # equal texts
+    assert set(got) <= {(0, 3)} and (0, 3) in got  # another opening; not (0, 1), which share it and nothing else
