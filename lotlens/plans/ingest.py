@@ -51,6 +51,18 @@ def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.insert_absent(o.filter("o_orderkey % 2 = 0").select("u", "s").distinct(), o.filter("o_orderkey % 3 = 0").select("u", "s"), ["u", "s"])
 
 
+@query("""
+WITH o AS (SELECT o_custkey AS u, o_orderstatus AS s, coalesce(o_orderdate < TIMESTAMP '2000-01-01', false) AS old FROM orders),
+cur AS (SELECT DISTINCT u, s FROM o WHERE old), new AS (SELECT DISTINCT u, s FROM o WHERE NOT old)
+SELECT u, s FROM cur UNION SELECT u, s FROM new
+""")
+def insert_if_absent_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order is on one side: those before 2000 are there, those since then and those without a date come in."""
+    old = F.coalesce(F.col("o_orderdate") < F.lit("2000-01-01").cast("timestamp_ntz"), F.lit(False))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("u"), F.col("o_orderstatus").alias("s"), old.alias("old"))
+    return merge.insert_absent(o.filter("old").select("u", "s").distinct(), o.filter("NOT old").select("u", "s"), ["u", "s"])
+
+
 @query("""
 WITH c AS (SELECT p_brand AS make, p_type AS model, max(p_size) AS cap FROM part WHERE p_partkey % 3 > 0 GROUP BY 1, 2), d AS (SELECT p_brand AS make, p_type AS model, max(p_size) AS cap FROM part WHERE p_partkey % 4 > 0 GROUP BY 1, 2)
 SELECT coalesce(c.make, d.make) AS make, coalesce(c.model, d.model) AS model, CASE WHEN c.make IS NULL THEN 'insert' WHEN d.make IS NULL THEN 'delete' ELSE 'update' END AS action FROM c FULL OUTER JOIN d ON c.make = d.make AND c.model = d.model WHERE c.cap IS DISTINCT FROM d.cap

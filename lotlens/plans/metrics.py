@@ -175,6 +175,25 @@ def decision_metrics_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.join(back, "day").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n", "users", F.when(F.col("day") >= F.lit("2000-07-01").cast("date"), "current").otherwise("previous").alias("half"), "week_n")
 
 
+@query("""
+WITH r AS (SELECT CAST(min(o_orderdate) AS DATE) AS low, CAST(max(o_orderdate) AS DATE) AS high FROM orders),
+days AS (SELECT low, high, CAST(unnest(generate_series(low, high, INTERVAL 1 DAY)) AS DATE) AS day FROM r),
+o AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n, count(DISTINCT o_custkey) AS users FROM orders GROUP BY 1)
+SELECT strftime(day, '%Y-%m-%d') AS day, coalesce(n, 0) AS n, coalesce(users, 0) AS users, CASE WHEN 2 * date_diff('day', low, day) > date_diff('day', low, high) THEN 'current' ELSE 'previous' END AS half,
+  CAST(sum(coalesce(n, 0)) OVER (ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS BIGINT) AS week_n
+FROM days LEFT JOIN o USING (day)
+""")
+def decision_metrics_windows_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dense daily series from the first to the last order, in two halves."""
+    o = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("users"))
+    days = o.agg(F.min("day").alias("low"), F.max("day").alias("high")).select("low", "high", F.explode(F.sequence("low", "high")).alias("day"))
+    zero = F.lit(0).cast("bigint")
+    dense = days.join(o, "day", "left").select("day", "low", "high", F.coalesce("n", zero).alias("n"), F.coalesce("users", zero).alias("users"))
+    back = dense.select(F.explode(F.sequence(F.col("day"), F.date_add("day", 6))).alias("day"), F.col("n").alias("m")).groupBy("day").agg(F.sum("m").alias("week_n"))
+    half = F.when(2 * F.datediff("day", "low") > F.datediff("high", "low"), "current").otherwise("previous")
+    return dense.join(back, "day").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n", "users", half.alias("half"), "week_n")
+
+
 @query("""
 WITH r AS (SELECT o_orderkey, o_orderpriority AS stratum, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey) AS round FROM orders)
 SELECT o_orderkey, stratum, CAST(round AS INTEGER) AS round FROM r WHERE round <= 5

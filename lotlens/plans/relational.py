@@ -156,6 +156,15 @@ def words_with_ordinality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("conv_id", (F.col("i") + 1).alias("place"), "word")
 
 
+@query("""
+SELECT conv_id, turn, CAST(i AS INTEGER) AS place, w AS word FROM (SELECT conv_id, turn, unnest(range(1, len(string_split(text, ' ')) + 1)) AS i, unnest(string_split(text, ' ')) AS w FROM conversations)
+""")
+def words_with_ordinality_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of all turns."""
+    words = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ", -1)).alias("i", "word"))
+    return words.select("conv_id", "turn", (F.col("i") + 1).alias("place"), "word")
+
+
 @query("""
 WITH s AS (SELECT o_orderkey AS id, o_custkey AS zone, o_totalprice AS price FROM orders)
 SELECT zone, count(*) AS n, round(avg(CASE WHEN price > cheap THEN 1.0 ELSE 0 END), 6) AS share_dearer, any_value(cheap) AS own FROM s JOIN (SELECT zone AS z, min(price) AS cheap FROM s GROUP BY 1) ON z = zone GROUP BY zone

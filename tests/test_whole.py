@@ -17,3 +17,10 @@ def test_fingerprints_are_of_the_whole_text(spark, tmp_path):
     got = {(r["a"], r["b"]): r["distance"] for r in QUERIES["hamming_near_dupes_whole"](spark, str(tmp_path)).collect()}
     assert got.pop((0, 2)) == 0  # equal texts
     assert set(got) <= {(0, 3)} and (0, 3) in got  # another opening; not (0, 1), which share it and nothing else
+
+
+def test_all_words_orders_and_days(spark, data):
+    talks, orders = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("conversations", "orders"))
+    assert QUERIES["words_with_ordinality_whole"](spark, data).count() == sum(len(r["text"].split(" ")) for r in talks.collect())
+    assert QUERIES["insert_if_absent_whole"](spark, data).count() == orders.select("o_custkey", "o_orderstatus").distinct().count()
+    assert sum(r["n"] for r in QUERIES["decision_metrics_windows_whole"](spark, data).collect()) == orders.count()
