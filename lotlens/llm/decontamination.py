@@ -1,12 +1,12 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search, then exact shingle containment.
+"""Benchmark decontamination: MinHash containment search, then exact shingle containment.
 
 A test item leaks into a document if at least THRESHOLD of the item's distinct word shingles (SHINGLE words; an item of
-fewer words is one shingle) occur anywhere in it. Items are partitioned by size (powers of two of their shingles). An
-item's sketch is its k least shingle hashes under one hash function (bottom-k MinHash): an unbiased draw of its
-shingles, so the share of the sketch met in a document estimates the containment, however long the document is. Each
-size class has its own k and the least number of sketch hits that makes a candidate, set so that a true leak is missed
-with a probability below 1e-6; classes up to k shingles are sketched whole. Candidates are verified against all
-shingles of the item and of the document.
+fewer words is one shingle) occur anywhere in it. An item's sketch is its k least shingle hashes under one hash function (bottom-k MinHash): an unbiased draw of its
+shingles, so the share of the sketch met in a document estimates the containment, however long the document is. Items
+fall into two size classes only: those up to SKETCH shingles are sketched whole; all others have k = SKETCH and LEAST
+hits, so that a true leak is missed with a probability below 1e-6. That holds for every larger size, as k draws of a
+larger item are no less sure, so finer classes would find nothing more. Candidates are verified against all shingles of
+the item and of the document.
 
 Documents are shingled in place and probed against the sketches: nothing of them is shuffled but sketch hits. The
 sketches are broadcast if their rows, counted, are within BROADCAST_ROWS, else both sides are shuffled by hash. The
@@ -55,11 +55,10 @@ def item_shingles(items: DataFrame, item: str = "item_id", text: str = "text", w
 
 
 def sketches(held: DataFrame, size: int = SKETCH) -> DataFrame:
-    """(item, width, h, least): the items' bottom-k sketches and the hits that make a candidate, by size class."""
+    """(item, width, h, least): the items' bottom-k sketches and the hits that make a candidate, for items sketched whole and for larger ones."""
     by_item = held.groupBy("item", "width").agg(F.first("n").alias("n"), F.slice(F.array_sort(F.collect_list("h")), 1, size).alias("s"))
-    size_class = F.floor(F.log2(F.col("n").cast("double")))
     least = F.when(F.col("n") <= size, F.ceil(F.col("n") * F.lit(THRESHOLD) - 1e-9)).otherwise(F.lit(LEAST))
-    return by_item.select("item", "width", size_class.alias("size_class"), least.cast("int").alias("least"), F.explode("s").alias("h"))
+    return by_item.select("item", "width", least.cast("int").alias("least"), F.explode("s").alias("h"))
 
 
 def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

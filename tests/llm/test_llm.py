@@ -372,6 +372,14 @@ def test_leaks_equal_brute_force(spark):
     assert decontamination.contaminated(docs.limit(0), bench).count() == 0 == decontamination.contaminated(docs, bench.limit(0)).count()
 
 
+def test_sketches_are_of_two_sizes(spark):
+    """Whole up to SKETCH shingles, with the threshold's share as least hits; else SKETCH rows and LEAST hits. No class is only named."""
+    rng = random.Random(17)
+    made = decontamination.sketches(decontamination.item_shingles(spark.createDataFrame([(n, words(rng, n + 4)) for n in (10, 24, 25, 300)], "item_id long, text string")))
+    assert made.columns == ["item", "width", "least", "h"]
+    assert {r["item"]: (r["count"], r["least"]) for r in made.groupBy("item", "least").count().collect()} == {10: (10, 8), 24: (24, 20), 25: (24, 9), 300: (24, 9)}
+
+
 # 10: repeated passages
 
 
