@@ -22,10 +22,13 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> None:
-    """checkpoint() writes to the cluster's shared folder; only where none is set (tests) a local one is made."""
+    """checkpoint() writes to the cluster's shared folder. Where none is set, a local run makes one and a cluster's fails."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -91,7 +94,10 @@ def word_hashes(text: str) -> np.ndarray:
 
 def shingle_hashes(text: str, width: int = 5) -> np.ndarray:
     """Hashes of the word shingles in order; a text of fewer words has one shingle, one without words none."""
-    words = word_hashes(text)
+    return shingles_of(word_hashes(text), width)
+
+
+def shingles_of(words: np.ndarray, width: int = 5) -> np.ndarray:
     if not len(words):
         return words
     width = min(width, len(words))
