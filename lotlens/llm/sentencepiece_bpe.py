@@ -6,7 +6,8 @@ looks up every neighbouring pair, takes the least rank within each word (a segme
 non-overlapping places at once, and compacts the array, until no pair remains.
 
 Merging equal pairs at once equals merging one by one unless a new pair ranks as high as the one just merged; a word
-where that shows, or could have shown between neighbouring places, is encoded again with one merge a round.
+where that shows, or could have shown between neighbouring places, is encoded again with one merge at a time, from a heap
+over a linked list, so that a long run of one character costs its length times a logarithm.
 
 Cases: null is the empty text, with the end id alone; characters outside the vocabulary become byte ids; rows are
 independent, so repeated rows and further columns change nothing. Only identity normalisation is supported, and
@@ -18,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -66,11 +68,15 @@ class Bpe:
         self.keys = np.array(sorted(pairs), np.int64)
         self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()], np.int64)
         self.made = np.array([pairs[k][1] for k in self.keys.tolist()], np.int64)
+        self.pairs = pairs
         self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if self.cut_at_marks else r"(?s:.+)")
         self.known: dict[str, tuple[int, str, bytes, bytes]] = {}
 
     def merge_rounds(self, words: list[str], one_by_one: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """The symbols of all words, in order, once no pair remains, and how many each word has."""
+        if one_by_one:
+            each = [self.one_at_a_time(w) for w in words]
+            return np.array([x for e in each for x in e], np.int64), np.array([len(e) for e in each], np.int64)
         sym = self.char[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
         n = np.array([len(w) for w in words], np.int64)
         word = np.flatnonzero(n)  # those still at work
@@ -95,20 +101,17 @@ class Bpe:
             where = np.flatnonzero(rank == np.where(go, least, -1)[seg])
             new = np.ones(len(where), bool)
             new[1:] = seg[where[1:]] != seg[where[:-1]]
-            if one_by_one:
-                first = where[new]
-            else:  # of a run of neighbouring places every other one, from the left
-                new[1:] |= where[1:] != where[:-1] + 1
-                run = np.maximum.accumulate(np.where(new, np.arange(len(where)), 0))
-                first = where[(np.arange(len(where)) - run) % 2 == 0]
-                side = np.flatnonzero((first[1:] == first[:-1] + 2) & (seg[first[1:]] == seg[first[:-1]]))
-                if len(side):  # would the left one's piece rather take the start of the right one?
-                    own = seg[first[side]]
-                    risky = np.unique(own[self.look_up(to[first[side]], sym[first[side + 1]])[0] <= least[own]])
-                    if len(risky):
-                        again += word[risky].tolist()
-                        go[risky] = False
-                        first = first[go[seg[first]]]
+            new[1:] |= where[1:] != where[:-1] + 1  # of a run of neighbouring places every other one, from the left
+            run = np.maximum.accumulate(np.where(new, np.arange(len(where)), 0))
+            first = where[(np.arange(len(where)) - run) % 2 == 0]
+            side = np.flatnonzero((first[1:] == first[:-1] + 2) & (seg[first[1:]] == seg[first[:-1]]))
+            if len(side):  # would the left one's piece rather take the start of the right one?
+                own = seg[first[side]]
+                risky = np.unique(own[self.look_up(to[first[side]], sym[first[side + 1]])[0] <= least[own]])
+                if len(risky):
+                    again += word[risky].tolist()
+                    go[risky] = False
+                    first = first[go[seg[first]]]
             sym[first] = to[first]
             keep = go[seg]
             keep[first + 1] = False
@@ -133,6 +136,34 @@ class Bpe:
         place = np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(len(flat))
         return flat[place], counts
 
+    def one_at_a_time(self, word: str) -> list[int]:
+        """The symbols of one word: always the leftmost pair of the least rank next."""
+        at = self.char[np.frombuffer(word.encode("utf-32-le"), np.uint32)]
+        first = self.look_up(at[:-1], at[1:])[0]
+        open_ = np.flatnonzero(first < _NEVER)
+        heap = (first[open_] << 32 | open_).tolist()
+        heapify(heap)
+        sym, n, base, pairs = at.tolist(), len(at), self.base, self.pairs
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            top = heappop(heap)
+            i = top & 0xFFFFFFFF
+            j = after[i]
+            found = pairs.get(sym[i] * base + sym[j]) if sym[i] >= 0 and j < n else None
+            if found is None or found[0] != top >> 32:
+                continue  # a neighbour has changed since
+            sym[i], sym[j], after[i] = found[1], -1, after[j]
+            if after[j] < n:
+                before[after[j]] = i
+                right = pairs.get(sym[i] * base + sym[after[i]])
+                if right is not None:
+                    heappush(heap, right[0] << 32 | i)
+            k = before[i]
+            left = pairs.get(sym[k] * base + sym[i]) if k >= 0 else None
+            if left is not None:
+                heappush(heap, left[0] << 32 | k)
+        return [s for s in sym if s >= 0]
+
     def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = left * self.base + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
