@@ -14,12 +14,14 @@ equal windows have equal anchors. Hence:
    are gathered by anchor, put in suffix order (ranks of prefixes by doubling), and previous and next smaller positions
    in that order give each start's longest previous factor; starts with a factor of LENGTH go.
 4. An anchor with more than GROUP such contents (a passage that a great many texts share, with other surroundings) is
-   not gathered, as it has no bound: its windows are hashed and the first of each is found by a combining aggregation
-   and a join that Spark can split.
-
-Cases: null is the empty text; texts under LENGTH bytes lose nothing and take nothing; rows with a null id come before
-all others; rows with one id come in the order of their SHA-256, equal rows one after the other; empty tables give
-empty results; further columns are ignored. Hashes of 128 bits stand for segments and hot windows.
+   not gathered, as it has no bound. Its segments are cut again at a second anchor of each window, the least under
+   another hash, and steps 2 and 3 are taken with the pair of anchors in the anchor's place; so on, down to segments of
+   one window after LEVELS cuts, where step 2 alone decides. The inside of the shared passage falls into segments that
+   are equal in all texts and goes by step 2; each cut leaves less around its ends.
+
+Cases: null is the empty text; texts under LENGTH bytes lose nothing and take nothing; ids may be of any type that has an
+order; rows with a null id come before all others; rows with one id come in the order of their SHA-256, equal rows one
+after the other; empty tables give empty results; further columns are ignored. Hashes of 128 bits stand for segments.
 """
 
 from __future__ import annotations
@@ -30,12 +32,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, mix64, small_batches, table
 
 LENGTH, GRAM = 100, 32
+LEVELS = 4  # cuts of a hot anchor's segments, the last one into single windows
 GROUP = 16_384  # contents of one anchor that a task takes at once: about 130 bytes each, so 2 MB
 CHUNK = 600_000  # bytes of segments whose suffixes are ordered together
 BROADCAST_ROWS = 1_000_000
@@ -66,12 +68,17 @@ def substring_hash(raw: np.ndarray, start: np.ndarray, size: np.ndarray | int, k
     return mix64((sums[start + size] - sums[start]) * inverse[start] + np.asarray(size, np.uint64))
 
 
-def segments(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, content hash, first window, windows) of each segment of a text."""
+def segments(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM, level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, content hash, first window, windows) of each segment of a text; each level has other anchors."""
     if len(raw) < length:
         none = np.empty(0, np.int64)
         return none.astype(np.uint64), none.astype(np.uint64), none, none
+    if level >= LEVELS:  # each window by itself
+        first = np.arange(len(raw) - length + 1)
+        return substring_hash(raw, first, length), substring_hash(raw, first, length, 1), first, np.ones(len(first), np.int64)
     h = substring_hash(raw, np.arange(len(raw) - gram + 1), gram)
+    if level:
+        h = mix64(h + np.uint64(level))
     value, place, width = h, np.arange(len(h), dtype=np.int32), 1
     span = length - gram + 1
     while width < span:  # leftmost least hash of each run of grams, by doubling
@@ -158,13 +165,13 @@ def _texts(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(rid, raw) of the first rows of all texts, and (doc_id, rid, sha, n_bytes, copy) of all rows; rid orders texts."""
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw")).withColumn("sha", F.sha2("raw", 256))
     named = cut(rows.groupBy("doc_id", "sha").agg(F.count(F.lit(1)).alias("c"), F.max(F.octet_length("raw")).alias("n_bytes")))
-    clash = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("low"), F.max("c").alias("c")).agg(F.max("m").alias("m"), F.min("low").alias("low"), F.count_if(F.col("doc_id").isNull()).alias("nulls"), F.max("c").alias("c")).first()
-    many, simple = clash["m"] or 1, (clash["m"] or 1) == 1 and not clash["nulls"]
+    clash = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"), F.max("c").alias("c")).agg(F.max("m").alias("m"), F.count_if(F.col("doc_id").isNull()).alias("nulls"), F.max("c").alias("c")).first()
+    whole = docs.schema[key].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    simple = whole and (clash["m"] or 1) == 1 and not clash["nulls"]
     if simple:
         named = named.withColumn("rid", F.col("doc_id").cast("long"))
-    else:
-        among = F.row_number().over(W.partitionBy("doc_id").orderBy("sha")) - 1
-        named = cut(named.withColumn("rid", F.coalesce(F.col("doc_id"), F.lit((clash["low"] or 0) - 1)).cast("long") * many + among))
+    else:  # a sort by range: numbers rise with the order, whatever the ids are
+        named = cut(named.orderBy(F.col("doc_id").asc_nulls_first(), "sha").withColumn("rid", F.monotonically_increasing_id()))
     first = named.groupBy("sha").agg(F.min("rid").alias("first"))
     named = cut(named.join(first, "sha").withColumn("copied", F.col("rid") != F.col("first")).drop("first"))
     copies = named.filter("copied").select("doc_id", "sha")
@@ -180,22 +187,30 @@ def _texts(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     return firsts, named.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("c").cast("int")))).drop("c")
 
 
-def _cut_segments(texts: DataFrame, whole: bool) -> DataFrame:
-    """Anchor hashes (h) of all segments, or their rows (h, g, rid, s, n)."""
+def _cut_segments(texts: DataFrame, whole: bool, level: int = 0) -> DataFrame:
+    """Anchor hashes (h) of all segments of (rid, raw), or their rows (h, g, rid, s, n).
+
+    Above level 0 the rows are segments (h, rid, s, raw) of hot anchors, and the new anchor is told from the old one's h.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("rid").to_numpy(zero_copy_only=False)
-            got = [(*segments(np.frombuffer(t, np.uint8)), i) for i, t in zip(ids, b.column("raw").to_pylist(), strict=True)]
+            got = [segments(np.frombuffer(t, np.uint8), level=level) for t in b.column("raw").to_pylist()]
             join = lambda k, kind: np.concatenate([*(x[k] for x in got), np.empty(0, kind)]).astype(kind)  # noqa: E731, B023
-            h = pa.array(join(0, np.uint64).view(np.int64))
+            sizes = [len(x[0]) for x in got]
+            h = join(0, np.uint64)
+            if level:
+                h = mix64(np.repeat(b.column("h").to_numpy(zero_copy_only=False).view(np.uint64), sizes) ^ mix64(h))
+            columns = [pa.array(h.view(np.int64))]
             if whole:
-                rid = np.repeat(np.array([x[4] for x in got], np.int64), [len(x[0]) for x in got])
-                yield pa.RecordBatch.from_arrays([h, pa.array(join(1, np.uint64).view(np.int64)), pa.array(rid), pa.array(join(2, np.int32)), pa.array(join(3, np.int16 if LENGTH < 1000 else np.int32))], names=["h", "g", "rid", "s", "n"])
-            else:
-                yield pa.RecordBatch.from_arrays([h], names=["h"])
+                start = join(2, np.int32)
+                if level:
+                    start = start + np.repeat(b.column("s").to_numpy(zero_copy_only=False), sizes)
+                rid = np.repeat(b.column("rid").to_numpy(zero_copy_only=False), sizes)
+                columns += [pa.array(join(1, np.uint64).view(np.int64)), pa.array(rid), pa.array(start), pa.array(join(3, np.int16))]
+            yield pa.RecordBatch.from_arrays(columns, names=["h", "g", "rid", "s", "n"][: len(columns)])
 
-    return texts.select(*(["rid", "raw"])).mapInArrow(run, "h long, g long, rid long, s int, n short" if whole else "h long")
+    return texts.select(*(["h", "s"] if level else []), "rid", "raw").mapInArrow(run, "h long, g long, rid long, s int, n short" if whole else "h long")
 
 
 def _bytes_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -246,32 +261,10 @@ def _by_factor(parts: DataFrame) -> DataFrame:
     return parts.mapInArrow(run, "rid long, start int, end int")
 
 
-def _by_window(parts: DataFrame) -> DataFrame:
-    """The same for anchors with many contents: the first place of each window's hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("rid", "s", "n", "raw")]
-            a, c, r, s = [], [], [], []
-            for rid, start, n, raw in zip(*cols, strict=True):
-                data, at = np.frombuffer(raw, np.uint8), np.arange(n)
-                a.append(substring_hash(data, at, LENGTH, 0))
-                c.append(substring_hash(data, at, LENGTH, 1))
-                r.append(np.full(n, rid, np.int64))
-                s.append(start + at)
-            flat = [np.concatenate([*x, np.empty(0, k)]).astype(k).view(v) for x, k, v in ((a, np.uint64, np.int64), (c, np.uint64, np.int64), (r, np.int64, np.int64), (s, np.int32, np.int32))]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in flat], names=["a", "b", "rid", "s"])
-
-    windows = cut(parts.select("rid", "s", "n", "raw").mapInArrow(run, "a long, b long, rid long, s int"))
-    first = windows.groupBy("a", "b").agg(F.min(F.struct("rid", "s")).alias("first"), F.count(F.lit(1)).alias("k")).filter(F.col("k") > 1).select("a", "b", "first")
-    later = windows.join(first, ["a", "b"]).filter(F.struct("rid", "s") > F.col("first"))
-    return later.select("rid", F.col("s").alias("start"), (F.col("s") + LENGTH).alias("end"))
-
-
-def removed(texts: DataFrame) -> DataFrame:
-    """(rid, spans) of the texts (rid, raw) that lose bytes: (start, end) pairs, which may overlap."""
-    again = _cut_segments(texts, False).groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > 1).select("h")
-    shared = cut(_cut_segments(texts, True).join(again, "h"))
+def _level(texts: DataFrame, source: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """(rid, start, end) of what goes by the anchors of one level, and the segments (h, rid, s, raw) that are still hot."""
+    again = _cut_segments(source, False, level).groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > 1).select("h")
+    shared = cut(_cut_segments(source, True, level).join(again, "h"))
     contents = cut(shared.groupBy("h", "g").agg(F.min(F.struct("rid", "s", "n")).alias("first")))
     place = F.struct("rid", "s")
     whole = shared.join(contents, ["h", "g"]).filter(place > F.struct("first.rid", "first.s")).select("rid", F.col("s").alias("start"), (F.col("s") + F.col("n") + F.lit(LENGTH - 1)).cast("int").alias("end"))
@@ -279,7 +272,17 @@ def removed(texts: DataFrame) -> DataFrame:
     wanted = contents.join(groups, "h").select("h", (F.col("k") > GROUP).alias("hot"), "first.rid", "first.s", "first.n")
     parts = cut(_bytes_of(texts, wanted))
     small = parts.filter(~F.col("hot")).select("h", "rid", "s", "n", "raw").repartition("h").sortWithinPartitions("h", "rid", "s")
-    spans = whole.unionByName(_by_factor(small)).unionByName(_by_window(parts.filter("hot")))
+    return whole.unionByName(_by_factor(small)), parts.filter("hot").select("h", "rid", "s", "raw")
+
+
+def removed(texts: DataFrame) -> DataFrame:
+    """(rid, spans) of the texts (rid, raw) that lose bytes: (start, end) pairs, which may overlap."""
+    spans, hot = _level(texts, texts, 0)
+    for level in range(1, LEVELS + 1):
+        if not hot.limit(1).count():
+            break
+        more, hot = _level(texts, hot, level)
+        spans = spans.unionByName(more)
     return spans.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
