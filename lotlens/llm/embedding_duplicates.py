@@ -4,7 +4,7 @@ All vectors are turned into their principal axes (a rotation keeps cosines), lar
 length. Equal vectors are one class. Cosine >= t means a distance of at most sqrt(2 - 2t), so vectors are laid into
 cells of that width along the first axes, and only neighbouring cells are compared; cells with many vectors are split
 into blocks by a hash of the id. A tile is a pair of blocks of about BLOCK vectors at most. In it, products over the
-leading axes are summed first; a pair is given up as soon as that sum plus the product of what the two vectors have left
+leading axes are summed first, a strip of one block at a time; a pair is given up as soon as that sum plus the product of what the two vectors have left
 (their suffix norms) is under the threshold. What remains is decided by the cosine of the given vectors in double
 precision.
 
@@ -12,7 +12,8 @@ A tile returns, for each vector, how many vectors it links to and the least vect
 tile, never pairs; so a group of any size gives a row for each of its vectors and tile.
 
 Cases: vectors that are null, of another length than most, zero or with null or non-finite components link with nothing
-and are kept; equal vectors link; empty tables give empty results; further columns are ignored.
+and are kept, whatever other rows their id has; rows with a null id link with nothing; equal vectors link, also under one
+id; rows with one id share its component and add up its links; empty tables give empty results; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,25 +23,25 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
 from .components import components
 
 THRESHOLD = 0.9
-BLOCK = 4096
+BLOCK = 8192
+STRIP, PAIRS = 256, 100_000  # rows of a block multiplied at once; pairs looked at together
 AXES = 2  # along which cells are laid
 LEADING = (8, 24)  # axes summed before the first and the second look at the bound
 BROADCAST_ROWS = 200_000
 
 
-def usable(vectors: DataFrame, vector: str, dim: int) -> DataFrame:
-    """Rows whose vector can have a cosine; the vector in doubles."""
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
-    good = (F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    rows = vectors.filter(F.col(vector).isNotNull()).withColumn(vector, v).filter(F.coalesce(good, F.lit(False)))
-    return rows.filter(F.exists(F.col(vector), lambda x: x != 0))
+def usable(vector: str, dim: int) -> Column:
+    """Whether a vector of doubles can have a cosine; never null."""
+    v = F.col(vector)
+    good = (F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
+    return F.coalesce(v.isNotNull() & good, F.lit(False))
 
 
 def units(raw: np.ndarray) -> np.ndarray:
@@ -74,36 +75,30 @@ def compare(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float, sa
     pa_, pb = ua @ axes, ub @ axes
     rest = {k: (np.sqrt((pa_[:, k:] ** 2).sum(axis=1)), np.sqrt((pb[:, k:] ** 2).sum(axis=1))) for k in LEADING if k < axes.shape[1]}
     slack = threshold - 1e-9
-    for s in range(0, len(a), 512):
-        e = min(s + 512, len(a))
-        done = 0
-        i = j = None
-        for k, (ra, rb) in rest.items():
-            if i is None:
-                bound = pa_[s:e, :k] @ pb[:, :k].T
-                part = bound + ra[s:e, None] * rb
-                i, j = np.nonzero(part >= slack)
-                i += s
-                if same:
-                    i, j = i[i < j], j[i < j]
-                if len(i) > len(b) * (e - s) // 8:  # too many for pair by pair
-                    break
-                total = bound[i - s, j]
-            else:
-                go = np.empty(len(i), bool)
-                for q in range(0, len(i), 100_000):
-                    x, y = i[q : q + 100_000], j[q : q + 100_000]
-                    total[q : q + 100_000] += (pa_[x, done:k] * pb[y, done:k]).sum(axis=1)
-                    go[q : q + 100_000] = total[q : q + 100_000] + ra[x] * rb[y] >= slack
-                i, j, total = i[go], j[go], total[go]
-            done = k
-        if i is None or len(i) > len(b) * (e - s) // 8:
-            i, j = np.nonzero(ua[s:e] @ ub.T >= slack)
-            i += s
-            if same:
-                i, j = i[i < j], j[i < j]
-        good = np.concatenate([(ua[i[q : q + 100_000]] * ub[j[q : q + 100_000]]).sum(axis=1) >= threshold for q in range(0, len(i), 100_000)] or [np.empty(0, bool)])
-        yield i[good], j[good]
+    for s in range(0, len(a), STRIP):
+        e = min(s + STRIP, len(a))
+        done, looks = 0, list(rest.items())
+        if looks:
+            done, (ra, rb) = looks[0]
+            bound = pa_[s:e, :done] @ pb[:, :done].T
+            i, j = np.nonzero(bound + ra[s:e, None] * rb >= slack)
+        else:
+            i, j = np.divmod(np.arange((e - s) * len(b)), len(b))
+        i += s
+        if same:
+            i, j = i[i < j], j[i < j]
+        found = []
+        for q in range(0, len(i), PAIRS):
+            x, y = i[q : q + PAIRS], j[q : q + PAIRS]
+            total, at = bound[x - s, y] if done else None, done
+            for k, (ra, rb) in looks[1:]:
+                total = total + (pa_[x, at:k] * pb[y, at:k]).sum(axis=1)
+                go = total + ra[x] * rb[y] >= slack
+                x, y, total, at = x[go], y[go], total[go], k
+            good = (ua[x] * ub[y]).sum(axis=1) >= threshold
+            found.append((x[good], y[good]))
+        if found:
+            yield np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
 def least_connected(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -118,10 +113,11 @@ def least_connected(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
 
 def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, block: int = BLOCK, axes_used: int = AXES) -> DataFrame:
     """(id, n_links, component_id, kept) of every row."""
-    rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"))
+    rows = vectors.select(F.col(key).alias("id"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"))
     sizes = rows.filter(F.col("v").isNotNull() & (F.size("v") > 0)).groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     dim = sizes[0]["dim"] if sizes else 1
-    named = cut(usable(rows.filter(F.col("id").isNotNull()), "v", dim).select("id", F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ","), 256).alias("name"), "v"))
+    good = F.col("id").isNotNull() & usable("v", dim)
+    named = cut(rows.filter(good).select("id", F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ","), 256).alias("name"), "v"))
     kinds = cut(named.groupBy("name").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v")))
     axes = principal_axes(kinds, "v", dim)
     width = float(np.sqrt(2 - 2 * threshold)) + 1e-9
@@ -179,7 +175,7 @@ def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", th
     of_kind = kinds.select("name", "rep", "n").join(counts, "rep", "left").join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left")
     of_kind = of_kind.select("name", (F.col("n") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     linked = named.select("id", "name").join(of_kind, "name").select("id", "n_links", "component_id")
-    alone = rows.join(named.select("id").distinct(), "id", "left_anti").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    alone = rows.filter(~good).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
 
 
