@@ -1,10 +1,13 @@
 """Secret scan over an incremental blob ledger.
 
 A blob is a distinct text, named by its SHA-256. The ledger has, for each blob, the rule versions that have been
-run over it and what they found. A scan takes all versions of all files (rows of path and text, old versions
-included), names the blobs, runs only pairs of blob and rule version that the ledger lacks, and joins the findings
-back to every path. A new rule version thus rescans all blobs with that one rule only, and a copied file costs a
-hash.
+run over it and what they found, each finding with its rule's version. A scan takes all versions of all files (rows of
+path and text, old versions included), names the blobs, runs only pairs of blob and rule version that the ledger lacks,
+appends them to it, and joins the findings of the wanted rule versions back to every path. A new rule version thus rescans
+all blobs with that one rule only, what the old version found is no longer reported, and a copied file costs a hash.
+
+The ledger is a Parquet folder. The query keeps it in the folder that LEDGER_SETTING names, so that a second run scans
+only what is new; if none is set it starts an empty one in the checkpoint folder.
 
 Cases: a null text is the empty blob; rows repeated as a whole stay as many rows; null paths are kept; further
 columns of the input, whatever their names, are not touched and do not reach the result.
@@ -13,13 +16,14 @@ columns of the input, whatever their names, are not touched and do not reach the
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
+from .common import cut, file_system, shared_dir, small_batches, table
 
 #: Rules that findings of any text are judged by; (kind, version, pattern, flags, group whose length counts, least).
 BASE = (
@@ -37,8 +41,9 @@ MORE = (
 )
 RULES = BASE + MORE
 KINDS = [r[0] for r in RULES]
-FINDING = "array<struct<kind:string,start:int,end:int>>"
+FINDING = "array<struct<kind:string,version:int,start:int,end:int>>"
 LEDGER = f"blob string, rules array<string>, findings {FINDING}"
+LEDGER_SETTING = "spark.lotlens.secretLedger"
 
 
 def rule_name(rule: tuple) -> str:
@@ -54,13 +59,13 @@ _FAST = {"hex": r"[0-9a-f]{24,}"}
 def find(text: str, rules: list[tuple]) -> list[dict]:
     """All findings of the rules, by start and then in the rules' order; code points, end exclusive."""
     out = []
-    for order, (kind, _, pattern, flags, group, least) in enumerate(rules):
+    for order, (kind, version, pattern, flags, group, least) in enumerate(rules):
         if kind in _HINTS and not any(h in text for h in _HINTS[kind]):
             continue
         for m in re.finditer(_FAST.get(kind, pattern), text, flags):
             if len(m[group]) >= least:
-                out.append((m.start(), order, kind, m.end()))
-    return [{"kind": k, "start": s, "end": e} for s, _, k, e in sorted(out)]
+                out.append((m.start(), order, kind, version, m.end()))
+    return [{"kind": k, "version": v, "start": s, "end": e} for s, _, k, v, e in sorted(out)]
 
 
 def blob_name(text: str | Column) -> Column:
@@ -85,7 +90,7 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, text: str
         unseen = F.array_except(F.array(*map(F.lit, everything)), F.coalesce("seen", F.array().cast("array<string>")))
         todo = blobs.join(seen, "blob", "left").select("blob", "text", unseen.alias("rules")).filter(F.size("rules") > 0)
     by_name = {rule_name(r): r for r in rules}
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("version", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -102,21 +107,41 @@ def findings_by_path(versions: DataFrame, ledger: DataFrame, path: str = "path",
     The side of the ledger has one row for each blob with findings; many paths of one blob are a skewed join that
     Spark splits at run time.
     """
-    wanted = F.array(*[F.lit(rule_name(r)) for r in rules])
-    order = F.array(*[F.lit(r[0]) for r in rules])
-    held = ledger.filter(F.size("findings") > 0).filter(F.arrays_overlap("rules", wanted))
-    one = held.select("blob", F.explode("findings").alias("f")).groupBy("blob").agg(F.collect_set(F.struct(F.col("f.start").alias("start"), F.array_position(order, F.col("f.kind")).alias("k"), F.col("f.kind").alias("kind"), F.col("f.end").alias("end"))).alias("f"))
-    one = one.select("blob", F.transform(F.array_sort("f"), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("findings"))
+    order = F.array(*[F.lit(rule_name(r)) for r in rules])
+    held = ledger.filter(F.size("findings") > 0).select("blob", F.explode("findings").alias("f"))
+    held = held.withColumn("k", F.array_position(order, F.concat_ws("@", "f.kind", F.col("f.version").cast("string")))).filter(F.col("k") > 0)
+    one = held.groupBy("blob").agg(F.collect_set(F.struct(F.col("f.start").alias("start"), "k", F.col("f.kind").alias("kind"), F.col("f.version").alias("version"), F.col("f.end").alias("end"))).alias("f"))
+    one = one.select("blob", F.transform(F.array_sort("f"), lambda x: F.struct(x["kind"].alias("kind"), x["version"].alias("version"), x["start"].alias("start"), x["end"].alias("end"))).alias("findings"))
     names = versions.select(F.col(path).alias(path), blob_name(text).alias("blob"))
     return names.join(one, "blob", "left").select(path, "blob", F.coalesce("findings", F.array().cast(FINDING)).alias("findings"))
 
 
-def redacted(docs: DataFrame, ledger: DataFrame, text: str = "text", mask: str = "[secret]", limit: int = 200_000) -> DataFrame:
-    """docs with each finding in the text, overlapping ones as one, replaced by the mask. Rows and columns stay.
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger's rows; none if the folder has no ledger yet."""
+    store, path = file_system(spark, folder)
+    return spark.read.schema(LEDGER).parquet(folder) if store.exists(path) else spark.createDataFrame([], LEDGER)
+
+
+def incremental(versions: DataFrame, folder: str, path: str = "path", text: str = "text", rules: tuple = RULES) -> DataFrame:
+    """findings_by_path once the ledger in the folder has every blob of versions under every rule.
+
+    Only unseen pairs are scanned. They are appended in one commit; rows of a run that was cut off count as unseen, and a
+    pair that two runs have appended changes nothing, as findings are sets.
+    """
+    spark = versions.sparkSession
+    known = read_ledger(spark, folder)
+    scan_unseen(versions, known if known.limit(1).count() else None, text, rules).write.mode("append").parquet(folder)
+    return findings_by_path(versions, read_ledger(spark, folder), path, text, rules)
+
+
+def redacted(docs: DataFrame, ledger: DataFrame, text: str = "text", mask: str = "[secret]", limit: int = 200_000, rules: tuple = RULES) -> DataFrame:
+    """docs with each finding of the rules in the text, overlapping ones as one, replaced by the mask. Rows and columns stay.
 
     Blobs with findings are few; they are broadcast if counted within the limit, else joined by shuffle.
     """
-    found = cut(ledger.filter(F.size("findings") > 0).select("blob", F.explode("findings").alias("f")).groupBy("blob").agg(F.array_sort(F.collect_set(F.struct("f.start", "f.end"))).alias("__spans")))
+    wanted = F.array(*[F.lit(rule_name(r)) for r in rules])
+    held = ledger.filter(F.size("findings") > 0).select("blob", F.explode("findings").alias("f")).filter(F.array_contains(wanted, F.concat_ws("@", "f.kind", F.col("f.version").cast("string"))))
+    found = cut(held.groupBy("blob").agg(F.array_sort(F.collect_set(F.struct("f.start", "f.end"))).alias("__spans")))
     near = F.broadcast(found) if found.count() <= limit else found
     t = F.col(text)
 
@@ -133,7 +158,9 @@ def redacted(docs: DataFrame, ledger: DataFrame, text: str = "text", mask: str =
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = findings_by_path(docs, scan_unseen(docs), path="doc_id")
+    shared_dir(spark)
+    folder = spark.conf.get(LEDGER_SETTING, None) or f"{spark.sparkContext.getCheckpointDir()}/secret-ledger-{uuid.uuid4().hex}"
+    found = incremental(docs, folder, path="doc_id")
     base = F.filter("findings", lambda x: x["kind"].isin(*[r[0] for r in BASE]))
 
     def spell(c: Column) -> Column:
