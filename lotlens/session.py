@@ -13,6 +13,7 @@ def session(name: str = "lotlens", **conf: str) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     builder = SparkSession.builder.appName(name)
     for k, v in (settings | {k.replace("__", "."): v for k, v in conf.items()}).items():
