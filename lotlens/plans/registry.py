@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import demand, ingest, matching, metrics, pricing, relational, text, tracks  # noqa: F401
+from . import demand, ingest, matching, metrics, normalize, pricing, relational, rules, text, tracks  # noqa: F401
 from .base import ORACLE, QUERIES  # noqa: F401
