@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import demand, facts, ingest, matching, metrics, normalize, pricing, relational, rules, text, titles, tracks  # noqa: F401
+from . import demand, facts, ingest, matching, metrics, normalize, pricing, queues, relational, rules, text, titles, tracks  # noqa: F401
 from .base import ORACLE, QUERIES  # noqa: F401
