@@ -3,10 +3,12 @@
 All vectors are turned into their principal axes (a rotation keeps cosines), largest variance first, and scaled to unit
 length. Equal vectors are one class. Cosine >= t means a distance of at most sqrt(2 - 2t), so vectors are laid into
 cells of that width along the first axes, and only neighbouring cells are compared; cells with many vectors are split
-into blocks by a hash of the id. A tile is a pair of blocks of about BLOCK vectors at most. In it, products over the
-leading axes are summed first, a strip of one block at a time; a pair is given up as soon as that sum plus the product of what the two vectors have left
-(their suffix norms) is under the threshold. What remains is decided by the cosine of the given vectors in double
-precision.
+into blocks by a hash of the id. A tile is a pair of blocks of about BLOCK vectors at most. In it, a strip of rows at a
+time, products over the leading axes are summed first: as many axes as leave SUFFIX of the vectors' squared length. A
+pair is given up if that sum plus the product of what the two vectors have left (their suffix norms) is under the
+threshold. The suffix norm stands as one more coordinate, so sum and bound are one product; it is taken in single
+precision, with a slack far above its error. The remaining axes are added only for the rows and columns of a strip that
+still have a pair, and what reaches the threshold is decided by the cosine of the given vectors in double precision.
 
 A tile returns, for each vector, how many vectors it links to and the least vector that it is connected with inside the
 tile, never pairs; so a group of any size gives a row for each of its vectors and tile.
@@ -31,9 +33,9 @@ from .components import components
 
 THRESHOLD = 0.9
 BLOCK = 8192
-STRIP, PAIRS = 256, 100_000  # rows of a block multiplied at once; pairs looked at together
+STRIP, PAIRS = 512, 100_000  # rows of a block multiplied at once; pairs decided together
+SUFFIX, SLACK = 0.45, 1e-4  # share of the squared length left after the leading axes; far above the error of single precision
 AXES = 2  # along which cells are laid
-LEADING = (8, 24)  # axes summed before the first and the second look at the bound
 BROADCAST_ROWS = 200_000
 
 
@@ -69,36 +71,30 @@ def principal_axes(vectors: DataFrame, vector: str, dim: int) -> np.ndarray:
     return axes[:, np.argsort(-values)]
 
 
+def leading(projected: np.ndarray) -> int:
+    """How many axes to sum first: at most SUFFIX of the squared length is left after them, on average."""
+    left = 1 - np.cumsum((projected**2).mean(axis=0)) if len(projected) else np.zeros(projected.shape[1])
+    return int(min(np.searchsorted(-left, -SUFFIX) + 1, projected.shape[1]))
+
+
 def compare(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Linked places (i, j) of two blocks of raw vectors, a strip of a at a time; i < j if it is the same block."""
     ua, ub = units(a), units(b)
     pa_, pb = ua @ axes, ub @ axes
-    rest = {k: (np.sqrt((pa_[:, k:] ** 2).sum(axis=1)), np.sqrt((pb[:, k:] ** 2).sum(axis=1))) for k in LEADING if k < axes.shape[1]}
-    slack = threshold - 1e-9
+    k = leading(pb)
+    head = [np.column_stack((p[:, :k], np.sqrt((p[:, k:] ** 2).sum(axis=1)))).astype(np.float32) for p in (pa_, pb)]
     for s in range(0, len(a), STRIP):
-        e = min(s + STRIP, len(a))
-        done, looks = 0, list(rest.items())
-        if looks:
-            done, (ra, rb) = looks[0]
-            bound = pa_[s:e, :done] @ pb[:, :done].T
-            i, j = np.nonzero(bound + ra[s:e, None] * rb >= slack)
-        else:
-            i, j = np.divmod(np.arange((e - s) * len(b)), len(b))
-        i += s
+        go = head[0][s : s + STRIP] @ head[1].T >= threshold - SLACK
         if same:
-            i, j = i[i < j], j[i < j]
-        found = []
-        for q in range(0, len(i), PAIRS):
-            x, y = i[q : q + PAIRS], j[q : q + PAIRS]
-            total, at = bound[x - s, y] if done else None, done
-            for k, (ra, rb) in looks[1:]:
-                total = total + (pa_[x, at:k] * pb[y, at:k]).sum(axis=1)
-                go = total + ra[x] * rb[y] >= slack
-                x, y, total, at = x[go], y[go], total[go], k
-            good = (ua[x] * ub[y]).sum(axis=1) >= threshold
-            found.append((x[good], y[good]))
-        if found:
-            yield np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+            go &= np.arange(len(b)) > np.arange(s, s + len(go))[:, None]
+        rows, columns = np.flatnonzero(go.any(axis=1)), np.flatnonzero(go.any(axis=0))
+        if not len(rows):
+            continue
+        total = pa_[s + rows] @ pb[columns].T
+        i, j = np.nonzero(go[np.ix_(rows, columns)] & (total >= threshold - 1e-9))
+        i, j = s + rows[i], columns[j]
+        good = np.concatenate([(ua[i[q : q + PAIRS]] * ub[j[q : q + PAIRS]]).sum(axis=1) >= threshold for q in range(0, len(i), PAIRS)] or [np.empty(0, bool)])
+        yield i[good], j[good]
 
 
 def least_connected(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
