@@ -126,9 +126,10 @@ def contaminated(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: s
         if sets is None:
             width = widths[0] if widths else SHINGLE
             one = words.select("doc", "again", shingles(F.col("w"), width).alias("s"))
-            return one.select("doc", F.lit(width).alias("width"), size(F.col("s")), F.explode("s").alias("h"))
+            # outer: for an inner one Spark would infer a filter on the array and work it out once more for each word
+            return one.select("doc", F.lit(width).alias("width"), size(F.col("s")), F.explode_outer("s").alias("h"))
         each = words.select("doc", "again", F.explode(sets).alias("s"))
-        return each.select("doc", F.col("s.width").alias("width"), size(F.col("s.h")), F.explode("s.h").alias("h"))
+        return each.select("doc", F.col("s.width").alias("width"), size(F.col("s.h")), F.explode_outer("s.h").alias("h"))
 
     hits = probes(rows).join(bounded(sketch, n_sketch), ["width", "h"]).filter(F.col("has") >= F.col("need")).groupBy("doc", "item").agg(F.count_distinct("h").alias("hits"), F.first("least").alias("least"))
     candidates = cut(hits.filter(F.col("hits") >= F.col("least")).select("doc", "item"))
