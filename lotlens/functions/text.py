@@ -68,16 +68,9 @@ def add_business_days(day: Column, n: Column) -> Column:
     return F.date_add(start, (F.floor(n / 5) * 7 + n % 5 + F.when(left > 4, 2).otherwise(0)).cast("int"))
 
 
-def seller_key(name: Column) -> Column:
-    """A seller's name without punctuation, legal forms and filler words; single letters joined."""
-    t = F.regexp_replace(plain(name), r"[^a-z0-9 ]+", " ")
-    t = F.regexp_replace(t, r"\b(srl|sa|sas|automotores|autos|agencia|the|of|and)\b", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"\b([a-z0-9]) (?=[a-z0-9]\b)", "$1"), r"\s+", " "))
-
-
 def placeholder_price(c: Column) -> Column:
-    """A digit repeated four times and more."""
-    return F.floor(c).cast("string").rlike(r"^([1-8])\1{3,}$")
+    """A digit repeated four times and more. Spelled out, as not every engine's patterns can refer back."""
+    return F.floor(c).cast("string").rlike("^(" + "|".join(f"{d}{{4,}}" for d in range(1, 9)) + ")$")
 
 
 def path_words(url: Column) -> Column:

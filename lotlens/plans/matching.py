@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.geo import HAVERSINE_SQL, cell, haversine_km
 from ..operators import scoring
 from .base import LISTINGS, dec, listings, query, table
 
+MODELS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 #: A customer's search: what it wants, made from its key and balance, so that some bounds are missing.
 SEARCHES = """
 searches AS (
-  SELECT c_custkey AS search, 'Brand#' || (1 + c_custkey % 25) AS make, CAST(2001 - c_custkey % 4 AS INTEGER) AS year_min,
+  SELECT c_custkey AS search, 'Brand#' || (1 + c_custkey % 25) AS make, CASE CAST(floor(c_custkey / 25) AS BIGINT) % 6 WHEN 0 THEN 'ECONOMY' WHEN 1 THEN 'LARGE' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'PROMO' WHEN 4 THEN 'SMALL' ELSE 'STANDARD' END AS model, CAST(2001 - c_custkey % 4 AS INTEGER) AS year_min,
     CASE WHEN c_custkey % 3 > 0 THEN 20000 + c_acctbal * 6 END AS price_max, CASE WHEN c_custkey % 5 > 0 THEN CAST(10.0 + c_custkey % 40 AS DOUBLE) END AS km_max,
     CASE WHEN c_custkey % 4 = 0 THEN 'F' END AS gearbox, CAST(CASE WHEN c_custkey % 7 = 0 THEN c_custkey % 50 + 1 END AS INTEGER) AS trim, c_nationkey AS zone
   FROM customer)
@@ -23,7 +25,7 @@ searches AS (
 def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     return table(spark, sf_dir, "customer").select(
-        k.alias("search"), F.concat(F.lit("Brand#"), (1 + k % 25).cast("string")).alias("make"), (2001 - k % 4).cast("int").alias("year_min"),
+        k.alias("search"), F.concat(F.lit("Brand#"), (1 + k % 25).cast("string")).alias("make"), F.element_at(F.array(*map(F.lit, MODELS)), (F.floor(k / 25) % 6 + 1).cast("int")).alias("model"), (2001 - k % 4).cast("int").alias("year_min"),
         F.when(k % 3 > 0, 20000 + F.col("c_acctbal") * 6).alias("price_max"), F.when(k % 5 > 0, 10.0 + k % 40).alias("km_max"),
         F.when(k % 4 == 0, "F").alias("gearbox"), F.when(k % 7 == 0, (k % 50 + 1).cast("int")).alias("trim"), F.col("c_nationkey").alias("zone"),
     )
@@ -40,7 +42,7 @@ RULES = ("year", "price", "km", "gearbox", "trim")
 
 
 def matched(spark: SparkSession, sf_dir: str, days: int = 30) -> DataFrame:
-    """Each search with the fresh offers of its make, and r_<rule>: ok, fail or unknown, null where it sets no bound."""
+    """Each search with the fresh offers of its make and model, and r_<rule>: ok, fail or unknown, null where it sets no bound."""
     want = searches(spark, sf_dir)
     s, o = want.alias("s"), fresh(spark, sf_dir, days).alias("o")
     c = F.col
@@ -52,7 +54,7 @@ def matched(spark: SparkSession, sf_dir: str, days: int = 30) -> DataFrame:
         "trim": F.when(c("s.trim").isNotNull(), scoring.required(c("o.trim"), F.abs(c("o.trim") - c("s.trim")) <= 5)),
     }
     offer = [c(f"o.{k}").alias(k) for k in ("id", "make", "model", "price", "km", "year", "seen", "now", "discount", "tax", "source", "seller")]
-    return s.join(o, c("s.make") == c("o.make")).select(c("s.search"), c("s.zone"), c("s.price_max"), c("s.km_max"), *offer, c("o.trim").alias("trim"), *[r.alias(f"r_{k}") for k, r in rules.items()])
+    return s.join(o, (c("s.make") == c("o.make")) & (c("s.model") == c("o.model"))).select(c("s.search"), c("s.zone"), c("s.price_max"), c("s.km_max"), *offer, c("o.trim").alias("trim"), *[r.alias(f"r_{k}") for k, r in rules.items()])
 
 
 def count(state: str) -> Column:
@@ -67,7 +69,7 @@ matched AS (
     CASE WHEN km_max IS NULL THEN NULL WHEN o.km IS NULL THEN 'unknown' WHEN o.km <= km_max THEN 'ok' ELSE 'fail' END AS r_km,
     CASE WHEN s.gearbox IS NULL THEN NULL WHEN o.gearbox IS NULL THEN 'unknown' WHEN o.gearbox = s.gearbox THEN 'ok' ELSE 'fail' END AS r_gearbox,
     CASE WHEN s.trim IS NULL THEN NULL WHEN o.trim IS NOT NULL AND abs(o.trim - s.trim) <= 5 THEN 'ok' ELSE 'fail' END AS r_trim
-  FROM searches s JOIN fresh o ON s.make = o.make),
+  FROM searches s JOIN fresh o ON s.make = o.make AND s.model = o.model),
 states AS (
   SELECT *, len(list_filter([r_year, r_price, r_km, r_gearbox, r_trim], lambda x: x = 'ok')) AS oks, len(list_filter([r_year, r_price, r_km, r_gearbox, r_trim], lambda x: x = 'fail')) AS fails,
     len(list_filter([r_year, r_price, r_km, r_gearbox, r_trim], lambda x: x = 'unknown')) AS unknowns FROM matched)
@@ -139,7 +141,7 @@ def deal_fit_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {LISTINGS}, ref AS (SELECT make, model, quantile_cont(price, 0.5) AS median FROM listings GROUP BY make, model)
 SELECT id, array_to_string(list_filter([
   CASE WHEN (1 - price / median) * 100 >= 50 THEN 'much_cheaper_50' WHEN (1 - price / median) * 100 >= 35 THEN 'much_cheaper_35' WHEN (1 - price / median) * 100 >= 25 THEN 'much_cheaper_25' END,
-  CASE WHEN km / greatest(2002 - year, 1) < 2 THEN 'few_km' END, CASE WHEN km IS NULL THEN 'no_km' END, CASE WHEN regexp_matches(CAST(CAST(floor(price) AS BIGINT) AS VARCHAR), '^(1+|2+|3+|4+|5+|6+|7+|8+)$') THEN 'placeholder_price' END,
+  CASE WHEN km / greatest(2002 - year, 1) < 2 THEN 'few_km' END, CASE WHEN km IS NULL THEN 'no_km' END, CASE WHEN regexp_matches(CAST(CAST(floor(price) AS BIGINT) AS VARCHAR), '^(1{{4,}}|2{{4,}}|3{{4,}}|4{{4,}}|5{{4,}}|6{{4,}}|7{{4,}}|8{{4,}})$') THEN 'placeholder_price' END,
   CASE WHEN contains(title, 'red') THEN 'red_title' END, CASE WHEN discount >= 0.09 THEN 'financing' END], lambda x: x IS NOT NULL), ',') AS flags
 FROM listings JOIN ref USING (make, model)
 """)
@@ -147,7 +149,7 @@ def red_flags_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     offers = listings(spark, sf_dir)
     ref = offers.groupBy("make", "model").agg(F.percentile("price", F.lit(0.5)).alias("median"))
     d = (1 - F.col("price") / F.col("median")) * 100
-    flags = [("much_cheaper_50", d >= 50), ("much_cheaper_35", (d >= 35) & (d < 50)), ("much_cheaper_25", (d >= 25) & (d < 35)), ("few_km", F.col("km") / F.greatest(2002 - F.col("year"), F.lit(1)) < 2), ("no_km", F.col("km").isNull()), ("placeholder_price", F.floor("price").cast("string").rlike("^(1+|2+|3+|4+|5+|6+|7+|8+)$")), ("red_title", F.col("title").contains("red")), ("financing", F.col("discount") >= 0.09)]
+    flags = [("much_cheaper_50", d >= 50), ("much_cheaper_35", (d >= 35) & (d < 50)), ("much_cheaper_25", (d >= 25) & (d < 35)), ("few_km", F.col("km") / F.greatest(2002 - F.col("year"), F.lit(1)) < 2), ("no_km", F.col("km").isNull()), ("placeholder_price", T.placeholder_price(F.col("price"))), ("red_title", F.col("title").contains("red")), ("financing", F.col("discount") >= 0.09)]
     return offers.join(ref, ["make", "model"]).select("id", scoring.ordered_flags(flags).alias("flags"))
 
 
@@ -158,7 +160,7 @@ SELECT search, CAST(any_value(n) AS BIGINT) AS n, string_agg(CAST(id AS VARCHAR)
 def preview_count_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many offers a search would get, and the newest three; missing values pass.
 
-    Counted and cut to three by aggregation with map-side combine, so a search with many offers is no single task.
+    The count combines before its shuffle; the newest three are ranked by a window over each search's matches.
     """
     hit = matched(spark, sf_dir).filter(count("fail") == 0)
     n = hit.groupBy("search").agg(F.count(F.lit(1)).alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import dec, exact, query, table, tables
+from .base import ORACLE, dec, exact, query, table, tables
 
 
 @query("""
@@ -158,23 +158,6 @@ def assisted_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return users.rollup("arm").agg(F.count(F.lit(1)).alias("users"), F.count("s").alias("signed"), F.count_if(viewed).alias("viewed"), F.count_if(clicked).alias("clicked"), F.count_if(clicked & (F.col("p") > F.col("c"))).alias("bought"), F.grouping("arm").cast("int").alias("total"))
 
 
-@query("""
-WITH days AS (SELECT CAST(unnest(generate_series(DATE '2000-01-01', DATE '2000-12-31', INTERVAL 1 DAY)) AS DATE) AS day),
-o AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n, count(DISTINCT o_custkey) AS users FROM orders GROUP BY 1)
-SELECT strftime(day, '%Y-%m-%d') AS day, coalesce(n, 0) AS n, coalesce(users, 0) AS users, CASE WHEN day >= DATE '2000-07-01' THEN 'current' ELSE 'previous' END AS half,
-  CAST(sum(coalesce(n, 0)) OVER (ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS BIGINT) AS week_n
-FROM days LEFT JOIN o USING (day)
-""")
-def decision_metrics_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dense daily series; the window runs over the year's days, 366 rows whatever the orders."""
-    days = spark.range(1).select(F.explode(F.sequence(F.lit("2000-01-01").cast("date"), F.lit("2000-12-31").cast("date"))).alias("day"))
-    o = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("users"))
-    zero = F.lit(0).cast("bigint")
-    dense = days.join(o, "day", "left").select("day", F.coalesce("n", zero).alias("n"), F.coalesce("users", zero).alias("users"))
-    back = dense.select(F.explode(F.sequence(F.col("day"), F.date_add("day", 6))).alias("day"), F.col("n").alias("m")).groupBy("day").agg(F.sum("m").alias("week_n"))
-    return dense.join(back, "day").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n", "users", F.when(F.col("day") >= F.lit("2000-07-01").cast("date"), "current").otherwise("previous").alias("half"), "week_n")
-
-
 @query("""
 WITH r AS (SELECT CAST(min(o_orderdate) AS DATE) AS low, CAST(max(o_orderdate) AS DATE) AS high FROM orders),
 days AS (SELECT low, high, CAST(unnest(generate_series(low, high, INTERVAL 1 DAY)) AS DATE) AS day FROM r),
@@ -194,6 +177,9 @@ def decision_metrics_windows_whole(spark: SparkSession, sf_dir: str) -> DataFram
     return dense.join(back, "day").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n", "users", half.alias("half"), "week_n")
 
 
+query(ORACLE["decision_metrics_windows_whole"], name="decision_metrics_windows")(decision_metrics_windows_whole)  # under its older name, which once read a part only
+
+
 @query("""
 WITH r AS (SELECT o_orderkey, o_orderpriority AS stratum, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey) AS round FROM orders)
 SELECT o_orderkey, stratum, CAST(round AS INTEGER) AS round FROM r WHERE round <= 5

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import fair_value, pool
+from ..operators import fair_value
+from ..operators import order_statistics as stats
 from .base import LISTINGS, dec, listings, newest, query, table
 
 _RECENT = "recent AS (SELECT l.* FROM listings l, (SELECT max(seen) AS now FROM listings) n WHERE seen > now - 180)"
@@ -13,10 +14,15 @@ _RECENT = "recent AS (SELECT l.* FROM listings l, (SELECT max(seen) AS now FROM
 
 def recent(spark: SparkSession, sf_dir: str, days: int = 180) -> DataFrame:
     offers = listings(spark, sf_dir)
-    now = newest(table(spark, sf_dir, "lineitem").join(F.broadcast(table(spark, sf_dir, "part").select("p_partkey")), F.col("l_partkey") == F.col("p_partkey"), "left_semi").select(F.to_date("l_shipdate").alias("seen")), "seen")
+    now = newest(table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"), "left_semi").select(F.to_date("l_shipdate").alias("seen")), "seen")
     return offers.crossJoin(now).filter(F.col("seen") > F.date_sub("now", days)).drop("now")
 
 
+def _null(c: str) -> Column:
+    """Not a number, which stands for nothing to take a percentile of, as null."""
+    return F.when(~F.isnan(c), F.col(c))
+
+
 _PAIRS = """
 pairs AS (
   SELECT t.id, t.price, t.trim, t.gearbox, t.km, c.id AS c_id, c.price AS c_price, c.km AS c_km, c.trim AS c_trim, c.gearbox AS c_gearbox, c.source AS c_source
@@ -43,10 +49,9 @@ SELECT id, level, n, round(p25, 4) AS p25, round(median, 4) AS median, round(p75
 FROM picked WHERE k = 1
 """)
 def comparable_price_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
-    offers = recent(spark, sf_dir)
-    ref = pool.price_reference(pool.above_floor(pool.comparable_pairs(offers, offers)))
-    p = [F.get("p", F.lit(k)) for k in range(3)]
-    return ref.select("id", "level", "n", dec(p[0], 4).alias("p25"), dec(p[1], 4).alias("median"), dec(p[2], 4).alias("p75"), dec("median_km", 4).alias("median_km"), dec((1 - F.col("price") / p[1]) * 100, 4).alias("diff_pct"))
+    """The cascade of references of every recent offer, by order statistics of ranges: no pair of offers is made."""
+    ref = stats.per_year(recent(spark, sf_dir), stats.reference, stats.REFERENCE, ["trim", "gearbox"])
+    return ref.select("id", "level", "n", dec("p25", 4).alias("p25"), dec("median", 4).alias("median"), dec("p75", 4).alias("p75"), dec(_null("median_km"), 4).alias("median_km"), dec((1 - F.col("price") / F.col("median")) * 100, 4).alias("diff_pct"))
 
 
 @query(f"""
@@ -77,12 +82,7 @@ SELECT id, CASE WHEN n1 >= 4 THEN 'version_km' WHEN n2 >= 4 THEN 'km' ELSE 'mode
 FROM agg WHERE n3 >= 4
 """)
 def dealer_market_ref_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    offers = recent(spark, sf_dir)
-    pairs = pool.comparable_pairs(offers.withColumn("k", F.col("km")), offers, km_tolerance=float("inf")).join(offers.select("id", "seller"), "id").filter(F.col("seller") != F.col("c_seller"))
-    near = F.coalesce(F.abs(F.col("c_km") - F.col("km")) <= F.greatest(F.lit(5.0), F.col("km") * 0.2), F.lit(False))
-    version = near & (F.col("trim") == F.col("c_trim"))
-    cuts = (("1", version), ("2", near), ("3", F.lit(True)))
-    agg = pairs.groupBy("id").agg(F.first("price").alias("price"), *[F.count_if(c).alias(f"n{k}") for k, c in cuts], *[F.percentile(F.when(c, F.col("c_price")), F.lit(0.5)).alias(f"m{k}") for k, c in cuts])
+    agg = stats.per_year(recent(spark, sf_dir), stats.market, stats.MARKET, ["trim", "seller"])
     pick = lambda a, b, c: F.when(F.col("n1") >= 4, a).when(F.col("n2") >= 4, b).otherwise(c)
     median = pick(F.col("m1"), F.col("m2"), F.col("m3"))
     return agg.filter("n3 >= 4").select("id", pick(F.lit("version_km"), F.lit("km"), F.lit("model")).alias("basis"), pick(F.col("n1"), F.col("n2"), F.col("n3")).alias("n"), dec(median, 4).alias("reference"), dec((F.col("price") / median - 1) * 100, 1).alias("vs_market_pct"))
@@ -100,12 +100,9 @@ SELECT id, count(*) AS n, round(quantile_cont(c_price, 0.5), 4) AS all_years,
 FROM pairs GROUP BY id
 """)
 def price_context_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    offers = recent(spark, sf_dir)
-    pairs = pool.comparable_pairs(offers, offers.withColumn("trim", F.struct("trim", "year")), km_tolerance=float("inf")).join(offers.select("id", F.col("year").alias("y")), "id")
-    year, trim = F.col("c_trim.year") == F.col("y"), F.col("c_trim.trim") == F.col("trim")
-    near = F.coalesce(F.abs(F.col("c_km") - F.col("km")) <= F.greatest(F.lit(5.0), F.col("km") * 0.2), F.lit(False))
-    cuts = {"all_years": F.lit(True), "same_year": year, "similar_km": near, "closest": year & near, "same_trim": trim, "dealers": F.col("c_source") == "A"}
-    return pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *[dec(F.percentile(F.when(c, F.col("c_price")), F.lit(0.5)), 4).alias(k) for k, c in cuts.items()])
+    cuts = ("all_years", "same_year", "similar_km", "closest", "same_trim", "dealers")
+    made = stats.per_year(recent(spark, sf_dir), stats.context, stats.CONTEXT, ["trim", "source"])
+    return made.select("id", "n", *[dec(_null(k), 4).alias(k) for k in cuts])
 
 
 @query("""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import LISTINGS, dec, listings, query, table, tables
+from .base import ORACLE, LISTINGS, dec, listings, query, table, tables
 
 
 @query("""
@@ -148,14 +148,6 @@ def intersect_except(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of("event_type = 'view'").intersect(of("event_type = 'purchase'")).subtract(of("event_type = 'error' AND value > 200"))
 
 
-@query("""
-SELECT conv_id, CAST(i AS INTEGER) AS place, w AS word FROM (SELECT conv_id, unnest(range(1, 6)) AS i, unnest(list_slice(string_split(text, ' '), 1, 5)) AS w FROM conversations WHERE turn = 0) WHERE w IS NOT NULL
-""")
-def words_with_ordinality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = table(spark, sf_dir, "conversations").filter("turn = 0").select("conv_id", F.posexplode(F.slice(F.split("text", " ", -1), 1, 5)).alias("i", "word"))
-    return first.select("conv_id", (F.col("i") + 1).alias("place"), "word")
-
-
 @query("""
 SELECT conv_id, turn, CAST(i AS INTEGER) AS place, w AS word FROM (SELECT conv_id, turn, unnest(range(1, len(string_split(text, ' ')) + 1)) AS i, unnest(string_split(text, ' ')) AS w FROM conversations)
 """)
@@ -165,6 +157,9 @@ def words_with_ordinality_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("conv_id", "turn", (F.col("i") + 1).alias("place"), "word")
 
 
+query(ORACLE["words_with_ordinality_whole"], name="words_with_ordinality")(words_with_ordinality_whole)  # under its older name, which once read a part only
+
+
 @query("""
 WITH s AS (SELECT o_orderkey AS id, o_custkey AS zone, o_totalprice AS price FROM orders)
 SELECT zone, count(*) AS n, round(avg(CASE WHEN price > cheap THEN 1.0 ELSE 0 END), 6) AS share_dearer, any_value(cheap) AS own FROM s JOIN (SELECT zone AS z, min(price) AS cheap FROM s GROUP BY 1) ON z = zone GROUP BY zone

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import vehicle as V
 from ..sources import html
-from .base import query, table, tables
+from .base import ORACLE, query, table, tables
 
 _PLAIN = f"trim(regexp_replace(lower(translate({{c}}, '{T.ACCENTED}', '{T.PLAIN}')), '\\s+', ' ', 'g'))"
 
@@ -16,11 +17,6 @@ def _p(c: str) -> str:
     return _PLAIN.format(c=c)
 
 
-@query(f"SELECT doc_id, {_p('substr(text, 1, 200)')} AS plain, length(text) AS n, len(string_split({_p('text')}, ' ')) AS words FROM documents")
-def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.plain(F.substring("text", 1, 200)).alias("plain"), F.length("text").cast("bigint").alias("n"), F.size(F.split(T.plain(F.col("text")), " ")).cast("bigint").alias("words"))
-
-
 @query(f"SELECT doc_id, {_p('text')} AS plain, length(text) AS n, len(string_split({_p('text')}, ' ')) AS words FROM documents")
 def normalized_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of each text; normalized_text shows the first 200 characters only."""
@@ -28,6 +24,9 @@ def normalized_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "plain", "n", F.size(F.split("plain", " ")).cast("bigint").alias("words"))
 
 
+query(ORACLE["normalized_text_whole"], name="normalized_text")(normalized_text_whole)  # under its older name, which once read a part only
+
+
 @query(r"""
 WITH p AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'USD ' || (p_partkey * 37) WHEN 1 THEN (p_partkey % 900 + 100) || '.500.000' WHEN 2 THEN (p_partkey % 90 + 1) || ',5 millones' WHEN 3 THEN '$ ' || p_partkey || ' mil' ELSE p_name END AS t FROM part),
 n AS (SELECT p_partkey, t, TRY_CAST(replace(replace(nullif(regexp_extract(t, '(\d{1,3}(?:\.\d{3})+(?:,\d+)?|\d+(?:,\d+)?)', 1), ''), '.', ''), ',', '.') AS DOUBLE) * CASE WHEN regexp_matches(t, '\d\s*millones\b') THEN 1000000 WHEN regexp_matches(t, '\d\s*mil\b') THEN 1000 ELSE 1 END AS amount FROM p)
@@ -121,11 +120,11 @@ def question_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("conv_id", "turn", F.round(T.token_jaccard(F.col("text"), F.col("prev")), 6).alias("jaccard"))
 
 
-@query("""
-SELECT s_suppkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower('The ' || s_name || ' S.A.'), '[^a-z0-9 ]+', ' ', 'g'), '\\b(srl|sa|sas|automotores|autos|agencia|the|of|and)\\b', ' ', 'g'), ' s a ?$', ' sa'), '\\s+', ' ', 'g')) AS key FROM supplier
+@query(r"""
+SELECT s_suppkey, trim(regexp_replace(regexp_replace(replace(lower('The ' || s_name || ' S.A.'), '.', ''), '[^a-z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g')) AS key FROM supplier
 """)
 def seller_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select("s_suppkey", T.seller_key(F.concat(F.lit("The "), "s_name", F.lit(" S.A."))).alias("key"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", V.seller_key(F.concat(F.lit("The "), "s_name", F.lit(" S.A."))).alias("key"))
 
 
 @query("""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import LISTINGS, dec, exact, listings, query, table
+from .base import ORACLE, LISTINGS, dec, exact, listings, query, table
 
 
 @query("""
@@ -118,27 +118,6 @@ def duplicate_pairs_mutual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.join(single.withColumnRenamed("id", "a"), "a", "left_semi").join(single.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")
 
 
-@query("""
-WITH h AS (SELECT doc_id, ('0x' || substr(md5(coalesce(lang, '') || ':' || substr(coalesce(text, ''), 1, 4)), 1, 8))::BIGINT AS h FROM documents)
-SELECT a.doc_id AS a, b.doc_id AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance
-FROM h a JOIN h b ON a.doc_id < b.doc_id AND bit_count(xor(a.h, b.h)) <= 3
-WHERE a.doc_id % 20 = 0 OR b.doc_id % 20 = 0
-""")
-def hamming_near_dupes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of 32-bit hashes that differ in 3 bits at most, a stated query set against all rows.
-
-    With 3 differing bits in 4 bytes, one byte at least is equal: pairs meet by (byte's place, byte).
-    """
-    text = F.concat(F.coalesce("lang", F.lit("")), F.lit(":"), F.substring(F.coalesce("text", F.lit("")), 1, 4))
-    h = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
-    docs = table(spark, sf_dir, "documents").select("doc_id", h.alias("h"))
-    keyed = docs.withColumn("k", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.shiftright("h", 8 * i).bitwiseAND(255).alias("b")) for i in range(4)])))
-    asked = keyed.filter(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("x"), F.col("h").alias("hx"), "k")
-    met = asked.join(keyed.select(F.col("doc_id").alias("y"), F.col("h").alias("hy"), "k"), "k").filter(F.col("x") != F.col("y"))
-    near = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.bit_count(F.col("hx").bitwiseXOR(F.col("hy"))).cast("int").alias("distance")).filter("distance <= 3")
-    return near.distinct()
-
-
 @query("""
 WITH w AS (SELECT doc_id, string_split(lower(coalesce(text, '')), ' ') AS w FROM documents),
 s AS (SELECT doc_id, ('0x' || substr(md5(unnest([array_to_string(w[i : i + 2], ' ') FOR i IN range(1, greatest(len(w) - 1, 2))])), 1, 15))::BIGINT AS h FROM w),
@@ -170,6 +149,9 @@ def hamming_near_dupes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same.unionByName(near.distinct())
 
 
+query(ORACLE["hamming_near_dupes_whole"], name="hamming_near_dupes")(hamming_near_dupes_whole)  # under its older name, which once read a part only
+
+
 @query(f"""
 WITH {LISTINGS}, w AS (SELECT date_trunc('month', seen) AS m, source, seller, id, price FROM listings)
 SELECT strftime(m, '%Y-%m') AS month, source, count(*) AS n, count(DISTINCT seller) AS sellers, CAST(sum(CAST(price AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS worth,

@@ -5,11 +5,13 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from lotlens.functions import geo
 from lotlens.functions import text as T
-from lotlens.operators import fair_value, merge, pool, scoring
+from lotlens.operators import fair_value, merge, scoring
+from lotlens.operators import order_statistics as stats
 from lotlens.sources import registry, sheets
 
 
@@ -62,11 +64,47 @@ def test_golden_score_and_levels(spark):
 def test_comparables_cascade(spark):
     rows = [(i, "a", "m", 2000, 10.0 if i % 2 else None, 1 if i < 7 else 2, "F", 100.0 + i, "s", i) for i in range(12)] + [(99, "a", "m", 2001, 10.0, 1, "F", 5.0, "s", 9)]
     offers = spark.createDataFrame(rows, "id long, make string, model string, year int, km double, trim int, gearbox string, price double, source string, seller int")
-    ref = {r["id"]: r for r in pool.price_reference(pool.above_floor(pool.comparable_pairs(offers, offers))).collect()}
-    assert ref[0]["level"] == "trim_gearbox" and ref[0]["n"] == 6 and abs(ref[0]["p"][1] - 103.5) < 1e-9
+    ref = {r["id"]: r for r in stats.per_year(offers, stats.reference, stats.REFERENCE, ["trim", "gearbox"]).collect()}
+    assert ref[0]["level"] == "trim_gearbox" and ref[0]["n"] == 6 and abs(ref[0]["median"] - 103.5) < 1e-9
     assert ref[8]["level"] == "gearbox" and ref[8]["n"] == 11
 
 
+def near_rows(rng, n):
+    return pd.DataFrame({
+        "id": np.arange(n), "price": np.round(rng.uniform(900, 90_000, n), 2), "km": np.where(rng.random(n) < 0.2, np.nan, rng.integers(1, 50, n)), "trim": pd.array(rng.integers(0, 4, n), "Int64").to_numpy(float, na_value=np.nan),
+        "gearbox": rng.choice(["F", "O"], n), "seller": rng.integers(0, 5, n), "source": rng.choice(["A", "N"], n), "year": rng.integers(2000, 2003, n), "target": rng.random(n) < 0.5,
+    })
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 60, 250])
+def test_order_statistics_equal_pairs(n):
+    """Every cut of every target against a plain loop over its pool."""
+    pdf = near_rows(np.random.default_rng(n), n)
+    ref, con, mar = (f(pdf).set_index("id") for f in (stats.reference, stats.context, stats.market))
+    med = lambda x: np.median(x) if len(x) else np.nan
+    for t in pdf[pdf["target"]].itertuples():
+        others = pdf[pdf["id"] != t.id]
+        near = (others["km"] - t.km).abs() <= max(5, t.km * 0.2)
+        if len(others):
+            cuts = {"all_years": others, "same_year": others[others["year"] == t.year], "similar_km": others[near], "closest": others[near & (others["year"] == t.year)], "same_trim": others[others["trim"] == t.trim], "dealers": others[others["source"] == "A"]}
+            for k, c in cuts.items():
+                assert np.allclose(con.loc[t.id, k], med(c["price"]), equal_nan=True), k
+        foreign = others["seller"] != t.seller
+        for k, c in (("1", others[foreign & near & (others["trim"] == t.trim)]), ("2", others[foreign & near]), ("3", others[foreign])):
+            assert mar.loc[t.id, f"n{k}"] == len(c) and np.allclose(mar.loc[t.id, f"m{k}"], med(c["price"]), equal_nan=True), k
+        pool = others[np.isnan(t.km) | others["km"].isna() | ((others["km"] - t.km).abs() <= t.km * 0.25)]
+        if not len(pool):
+            assert t.id not in ref.index
+            continue
+        pool = pool[pool["price"] >= np.quantile(pool["price"], 0.75) * 0.35]
+        for level, keep in (("trim_gearbox", (pool["trim"] == t.trim) & (pool["gearbox"] == t.gearbox)), ("gearbox", pool["gearbox"] == t.gearbox), ("model", pool["price"] > 0)):
+            if keep.sum() >= 5 or level == "model":
+                break
+        chosen, got = pool[keep], ref.loc[t.id]
+        assert (got["level"], got["n"]) == (level, len(chosen))
+        assert np.allclose([got["p25"], got["median"], got["p75"], got["median_km"]], [*np.quantile(chosen["price"], [0.25, 0.5, 0.75]), med(chosen["km"].dropna())], equal_nan=True)
+
+
 def test_fair_value_recovers_coefficients():
     rng = np.random.default_rng(1)
     n = 2000
