@@ -183,3 +183,11 @@ def usual_place_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {LISTINGS} SELECT make, model, year, count(*) AS n, round(avg(km), 6) AS mean_km, min(price) AS cheapest, max(price) AS dearest, CAST(grouping_id(make, model, year) AS INTEGER) AS total_of FROM listings GROUP BY ROLLUP (make, model, year)")
 def market_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings(spark, sf_dir).rollup("make", "model", "year").agg(F.count(F.lit(1)).alias("n"), dec(F.avg("km"), 6).alias("mean_km"), F.min("price").alias("cheapest"), F.max("price").alias("dearest"), F.grouping_id("make", "model", "year").cast("int").alias("total_of"))
+
+
+@query("""SELECT event_id, user_id, n, n > 3 AS blocked FROM (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 12 HOUR PRECEDING AND CURRENT ROW) AS n FROM events)""")
+def rate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's attempts in the last twelve hours, and which go beyond three."""
+    e = table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    n = F.count(F.lit(1)).over(W.partitionBy("user_id").orderBy("us").rangeBetween(-12 * 3600 * 1_000_000, 0))
+    return e.select("event_id", "user_id", n.alias("n")).withColumn("blocked", F.col("n") > 3)

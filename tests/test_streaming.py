@@ -1,5 +1,7 @@
 """Streams run to their end against the same thing in batch."""
 
+import datetime
+import os
 import shutil
 from pathlib import Path
 
@@ -56,3 +58,52 @@ def test_upsert_stream(spark, tmp_path):
     assert got == [("a", 3.0), ("b", 2.0), ("c", None)]
     changes = sorted((r["k"], r["change"]) for r in spark.read.parquet(str(tmp_path / "table_changes/batch=1")).collect())
     assert changes == [("a", "price"), ("c", "new")]
+
+
+def feed(spark, tmp_path, name, schema, parts):
+    """A stream of one file a batch, in this order."""
+    folder = tmp_path / name
+    folder.mkdir()
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}{i}"))
+        part = next(Path(tmp_path / f"{name}{i}").glob("part-*.parquet"))
+        shutil.copy(part, folder / f"{i}.parquet")
+        os.utime(folder / f"{i}.parquet", (1_700_000_000 + i * 60,) * 2)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def test_late_days_count_under_their_own_day(spark, tmp_path):
+    t = lambda d, h: datetime.datetime(2024, 1, d, h)
+    parts = [[(1, t(2, 12), 7), (2, t(2, 13), 7)], [(3, t(3, 12), 7)], [(4, t(2, 14), 7), (5, t(2, 15), 7), (6, t(3, 13), 7)]]
+    stream = feed(spark, tmp_path, "late", "event_id long, ts timestamp, user_id long", parts)
+    got = {r["event_id"]: (r["day"], r["n"], r["decision"]) for r in drained(E.capped_alerts(stream, late="3 days"), "late_alerts", tmp_path).collect()}
+    assert got == {1: ("2024-01-02", 1, "send"), 2: ("2024-01-02", 2, "send"), 3: ("2024-01-03", 1, "send"), 4: ("2024-01-02", 3, "send"), 5: ("2024-01-02", 4, "digest"), 6: ("2024-01-03", 2, "send")}
+
+
+def test_incomplete_batches_and_lost_versions(spark, tmp_path):
+    schema = "k string, price double, seq int, complete boolean"
+    parts = [[("a", 1.0, 1, True)], [("a", 2.0, 2, True), ("b", 1.0, 2, False)], [("c", 1.0, 3, True)], [("c", 4.0, 4, None)]]
+    table, ck = str(tmp_path / "t"), str(tmp_path / "tck")
+    run = lambda: E.upsert_stream(feed_once, table, ["k"], ["seq"], ["price"], ck).awaitTermination()
+    feed_once = feed(spark, tmp_path, "whole", schema, parts)
+    run()
+    assert sorted(map(tuple, spark.read.parquet(f"{table}/version=3").select("k", "price").collect())) == [("a", 2.0), ("b", 1.0), ("c", 4.0)]
+    assert spark.read.parquet(f"{table}_watermark").first()["covered_until"] == 3
+    assert sorted(p.name for p in Path(table).iterdir()) == ["version=2", "version=3"]
+    shutil.rmtree(f"{table}/version=3")
+    shutil.copy(tmp_path / "whole" / "3.parquet", tmp_path / "whole" / "4.parquet")
+    with pytest.raises(Exception, match="needs the version before it"):
+        run()
+
+
+def test_first_batch_and_old_stock_are_muted(spark):
+    t = lambda d: datetime.datetime(2024, 3, 1) - datetime.timedelta(days=d)
+    batch = spark.createDataFrame([(1, t(0)), (2, t(29)), (3, t(31)), (4, None)], "id long, ts timestamp")
+    assert all(r["muted"] for r in E.muted(batch, 0).collect())
+    assert {r["id"]: r["muted"] for r in E.muted(batch, 1).collect()} == {1: False, 2: False, 3: True, 4: True}
+
+
+def test_sliding_windows(spark, folder, data, tmp_path):
+    got = drained(E.windowed(E.read_events(spark, folder), "7 days", "1 day"), "sliding", tmp_path, "complete")
+    days = spark.read.parquet(f"{data}/events.parquet").count()
+    assert sum(r["n"] for r in got.collect()) == 7 * days
