@@ -1,9 +1,10 @@
 """Fair-value curves: a robust additive model of the log price for each make and model.
 
-log price = level of the year + premium of the trim + premium of the gearbox + slope * log(km / usual km). The terms are
-found by alternating medians of residuals. One (make, model) is fitted in one task, from the medians of its (year, trim,
-gearbox, km step) cells, weighted by their counts. What a curve is judged by is taken from the offers themselves: the
-quartiles of their residuals, their held-out errors and their cohorts' medians are exact percentiles over all offers.
+log price = level of the year + premium of the trim + premium of the gearbox + slope * (log km - the year's mean log km). The
+terms are found by alternating medians of residuals. One (make, model) is fitted in one task, from the medians of its (year,
+trim, gearbox, km step) cells, weighted by their counts; km steps are of two percent, so a model has some hundreds of cells a
+year and version however many offers it has. What a curve is judged by is taken from the offers themselves: the quartiles of
+their residuals, their held-out errors and their cohorts' medians, which are those of the price references.
 """
 
 from __future__ import annotations
@@ -13,14 +14,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import order_statistics as stats
+
 LEAST_YEAR, LEAST_LEVEL, LEAST_MODEL = 8, 15, 150
 BAND = (0.45, 2.2)
 SLOPE = (-0.35, 0.0)
 PASSES, STOP = 4, 0.005
-HYSTERESIS = 1.05
-CELLS_PER_KM = 1.0
-CURVE = "make string, model string, n long, usual_km double, slope double, starts map<int,double>, years map<int,double>, trims map<string,double>, gearboxes map<string,double>"
-TERMS = ["n", "usual_km", "slope", "starts", "years", "trims", "gearboxes"]
+HYSTERESIS, LEAST_COHORT, GUARD = 1.05, 5, 65.0  # an enabled curve stays up to 5 % worse; offers of a cohort; % under a value
+CELLS = 50.0  # steps of log km
+KM_RANGE = (1.0, 1_000_000.0)
+CURVE = "make string, model string, n long, usual map<int,double>, slope double, starts map<int,double>, years map<int,double>, trims map<string,double>, gearboxes map<string,double>"
+TERMS = ["n", "usual", "slope", "starts", "years", "trims", "gearboxes"]
 
 
 def weighted_median(x: np.ndarray, w: np.ndarray) -> float:
@@ -54,44 +58,55 @@ def fit(pdf: pd.DataFrame) -> dict | None:
     pdf, y, w, year = pdf[ok], y[ok], w[ok], year[ok]
     if not len(pdf):
         return None
-    trim, gear = pdf["trim"].astype(str).to_numpy(), pdf["gearbox"].astype(str).to_numpy()
     km = pdf["km"].to_numpy(float)
-    known = ~np.isnan(km) & (km > 0)
-    usual = weighted_median(km[known], w[known]) if known.any() else 1.0
-    x = np.where(known, np.log(np.where(known, km, 1) / usual), 0.0)
+    known = ~np.isnan(km) & (km >= KM_RANGE[0]) & (km <= KM_RANGE[1])
+    usual = {k: float(np.average(np.log(km[at]), weights=w[at])) for k in np.unique(year) if (at := known & (year == k)).any()}
+    known &= np.isin(year, list(usual))
+    x = np.where(known, np.log(np.where(known, km, 1)) - np.array([usual.get(k, 0.0) for k in year]), 0.0)
+    levels = {}
+    for name in ("trim", "gearbox"):  # a missing trim or gearbox is no level
+        has = pdf[name].notna().to_numpy()
+        levels[name] = (pdf[name].astype(str).to_numpy(), has)
+    (trim, has_trim), (gear, has_gear) = levels["trim"], levels["gearbox"]
     years, trims, gears, slope = dict(start), {}, {}, 0.0
     of = lambda table, codes: np.array([table.get(c, 0.0) for c in codes])
-    for _ in range(PASSES):
-        before = of(years, year) + of(trims, trim) + of(gears, gear) + slope * x
-        trims = group_medians(trim, y - of(years, year) - of(gears, gear) - slope * x, w, LEAST_LEVEL)
-        years = group_medians(year, y - of(trims, trim) - of(gears, gear) - slope * x, w, LEAST_YEAR)
-        gears = group_medians(gear, y - of(years, year) - of(trims, trim) - slope * x, w, LEAST_LEVEL)
-        rest = (y - of(years, year) - of(trims, trim) - of(gears, gear))[known]
+    moved = lambda new, old: max((abs(v - old.get(k, 0.0)) for k, v in new.items()), default=0.0)
+    for step in range(PASSES):
+        rest = y - of(years, year) - of(gears, gear) - slope * x
+        new_trims = group_medians(trim[has_trim], rest[has_trim], w[has_trim], LEAST_LEVEL)
+        new_years = group_medians(year, y - of(new_trims, trim) - of(gears, gear) - slope * x, w, 0)
+        rest = y - of(new_years, year) - of(new_trims, trim) - slope * x
+        new_gears = group_medians(gear[has_gear], rest[has_gear], w[has_gear], LEAST_LEVEL)
+        rest, new_slope = (y - of(new_years, year) - of(new_trims, trim) - of(new_gears, gear))[known], 0.0
         if known.sum() > 2 and (v := np.average((x[known] - np.average(x[known], weights=w[known])) ** 2, weights=w[known])) > 1e-12:
             mx, mr = np.average(x[known], weights=w[known]), np.average(rest, weights=w[known])
-            slope = float(np.clip(np.average((x[known] - mx) * (rest - mr), weights=w[known]) / v, *SLOPE))
-        now = of(years, year) + of(trims, trim) + of(gears, gear) + slope * x
-        if np.abs(now - before).max() < STOP:
+            new_slope = float(np.clip(np.average((x[known] - mx) * (rest - mr), weights=w[known]) / v, *SLOPE))
+        far = max(abs(new_slope - slope), moved(new_years, years), moved(new_trims, trims), moved(new_gears, gears))
+        years, trims, gears, slope = new_years, new_trims, new_gears, new_slope
+        if step and far <= STOP:  # the first pass is always followed by a second
             break
-    return {"n": int(w.sum()), "usual_km": float(usual), "slope": slope, "starts": {int(k): v for k, v in start.items()}, "years": {int(k): v for k, v in years.items()}, "trims": trims, "gearboxes": gears}
+    return {"n": int(w.sum()), "usual": {int(k): v for k, v in usual.items()}, "slope": slope, "starts": {int(k): v for k, v in start.items()}, "years": {int(k): v for k, v in years.items()}, "trims": trims, "gearboxes": gears}
 
 
 def predict(curve: dict, pdf: pd.DataFrame) -> np.ndarray:
-    km = pdf["km"].to_numpy(float)
-    x = np.where(~np.isnan(km) & (km > 0), np.log(np.where(km > 0, km, 1) / curve["usual_km"]), 0.0)
-    level = np.array([curve["years"].get(int(k), np.nan) if k == k else np.nan for k in pdf["year"].to_numpy(float)])
+    km, year = pdf["km"].to_numpy(float), pdf["year"].to_numpy(float)
+    usual = np.array([curve["usual"].get(int(k), np.nan) if k == k else np.nan for k in year])
+    known = (km >= KM_RANGE[0]) & (km <= KM_RANGE[1]) & ~np.isnan(usual)
+    x = np.where(known, np.log(np.where(known, km, 1)) - np.nan_to_num(usual), 0.0)
+    level = np.array([curve["years"].get(int(k), np.nan) if k == k else np.nan for k in year])
     return np.exp(level + np.array([curve["trims"].get(str(t), 0.0) for t in pdf["trim"]]) + np.array([curve["gearboxes"].get(str(g), 0.0) for g in pdf["gearbox"]]) + curve["slope"] * x)
 
 
 def cells(offers: DataFrame, *more: str) -> DataFrame:
     """Medians of equal (make, model, year, trim, gearbox, km step): a map-side count of what any model has, whatever its offers."""
-    step = F.round(F.col("km") * CELLS_PER_KM)
-    return offers.groupBy("make", "model", "year", "trim", "gearbox", step.alias("km"), *more).agg(F.percentile("price", F.lit(0.5)).alias("price"), F.count(F.lit(1)).alias("w"))
+    step = F.round(F.ln(F.when(F.col("km") > 0, F.col("km"))) * CELLS)
+    held = offers.groupBy("make", "model", "year", "trim", "gearbox", step.alias("step"), *more).agg(F.exp(F.avg(F.ln(F.when(F.col("km") > 0, F.col("km"))))).alias("km"), F.percentile("price", F.lit(0.5)).alias("price"), F.count(F.lit(1)).alias("w"))
+    return held.drop("step")
 
 
 def fair_price() -> Column:
     """The fair price of an offer joined with its curve; null where the curve has no level for its year."""
-    x = F.when(F.col("km") > 0, F.log(F.col("km") / F.col("usual_km"))).otherwise(0.0)
+    x = F.coalesce(F.when(F.col("km").between(*KM_RANGE), F.ln("km") - F.try_element_at("usual", "year")), F.lit(0.0))
     zero = F.lit(0.0)
     return F.exp(F.try_element_at("years", "year") + F.coalesce(F.try_element_at("trims", F.col("trim").cast("string")), zero) + F.coalesce(F.try_element_at("gearboxes", F.col("gearbox").cast("string")), zero) + F.col("slope") * x)
 
@@ -113,15 +128,28 @@ def fit_curves(offers: DataFrame) -> DataFrame:
 
 
 def value(offers: DataFrame, curves: DataFrame) -> DataFrame:
-    """offers plus fair, fair_low, fair_high and diff_pct; a column expression over the joined curve, no Python."""
-    joined = offers.join(curves, ["make", "model"]).withColumn("fair", fair_price())
+    """offers plus fair, fair_low, fair_high and diff_pct; a column expression over the joined curve, no Python.
+
+    Offers without a curve, or of a year that it has no level for, stay, without a value.
+    """
+    joined = offers.join(curves, ["make", "model"], "left").withColumn("fair", fair_price())
     made = {"fair_low": F.col("fair") * F.exp("q25"), "fair_high": F.col("fair") * F.exp("q75"), "diff_pct": (1 - F.col("price") / F.col("fair")) * 100}
     return joined.withColumns(made).drop(*TERMS, "q25", "q75")
 
 
-def gate(offers: DataFrame, folds: int = 5) -> DataFrame:
-    """(make, model, n, curve_error, cohort_error, enabled): median absolute log errors of all offers of the fold not fitted."""
-    dealt = offers.withColumn("fold", F.pmod("id", F.lit(folds)).cast("int"))
+def enabled_by(n: Column, curve: Column, cohort: Column, was: Column) -> Column:
+    """Enough offers, and an error no greater than the cohort's; a curve in use stays until it is HYSTERESIS times that."""
+    return (n >= LEAST_MODEL) & F.coalesce(curve <= cohort * F.when(was, HYSTERESIS).otherwise(1.0), F.lit(False))
+
+
+def gate(offers: DataFrame, was: DataFrame | None = None, folds: int = 5) -> DataFrame:
+    """(make, model, n, sample, curve_error, cohort_error, guard_flips, enabled), errors being median absolute log errors.
+
+    Each offer is priced by a curve of the other folds and by its cohort: the median of its model's pool, as references take
+    it, of LEAST_COHORT offers and more. Offers that both can price count. guard_flips: offers that one of the two, the full
+    curve or the cohort, puts GUARD percent under its value and the other doesn't. `was` has (make, model) of curves in use.
+    """
+    dealt = offers.withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(folds)).cast("int"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -133,12 +161,17 @@ def gate(offers: DataFrame, folds: int = 5) -> DataFrame:
         return pd.DataFrame(rows, columns=["make", "model", "fold", *TERMS])
 
     curves = cells(dealt, "fold").groupBy("make", "model").applyInPandas(run, CURVE.replace("n long", "fold int, n long"))
-    others = [F.percentile(F.when(F.col("fold") != k, F.col("price")), F.lit(0.5)) for k in range(folds)]
-    cohorts = dealt.groupBy("make", "model", "year").agg(F.array(*others).alias("usual"))
-    held = dealt.join(curves.drop("n"), ["make", "model", "fold"]).join(cohorts, ["make", "model", "year"])
-    priced = held.select("make", "model", "price", fair_price().alias("fair"), F.get("usual", F.col("fold")).alias("usual")).filter("price > 0 AND fair IS NOT NULL AND usual > 0")
+    # no narrower level has so many offers: the cascade ends at the model
+    cohorts = stats.per_year(offers, lambda pdf: stats.reference(pdf, least=1 << 60), stats.REFERENCE, ["trim", "gearbox"]).filter(F.col("n") >= LEAST_COHORT).select("id", F.col("median").alias("usual_price"))
+    start = F.exp(F.try_element_at("starts", "year"))
+    held = dealt.join(curves.drop("n"), ["make", "model", "fold"]).filter((F.col("price") / start).between(*BAND))
+    priced = held.select("id", "make", "model", "price", fair_price().alias("held")).filter("held IS NOT NULL").join(cohorts, "id")
+    full = value(offers, fit_curves(offers)).select("id", "fair")
+    under = lambda c: F.coalesce((1 - F.col("price") / F.col(c)) * 100 >= GUARD, F.lit(False))
     error = lambda c: F.percentile(F.abs(F.log(F.col("price") / F.col(c))), F.lit(0.5))
-    errors = priced.groupBy("make", "model").agg(error("fair").alias("e"), error("usual").alias("c"))
-    enabled = (F.col("n") >= LEAST_MODEL) & F.coalesce(F.col("e") * HYSTERESIS <= F.col("c"), F.lit(False))
-    sized = dealt.groupBy("make", "model").agg(F.count(F.lit(1)).alias("n"))
-    return sized.join(errors, ["make", "model"], "left").select("make", "model", "n", F.round("e", 6).alias("curve_error"), F.round("c", 6).alias("cohort_error"), enabled.alias("enabled"))
+    errors = priced.join(full, "id").groupBy("make", "model").agg(F.count(F.lit(1)).alias("sample"), error("held").alias("e"), error("usual_price").alias("c"), F.count_if(under("fair") != under("usual_price")).alias("guard_flips"))
+    sized = dealt.groupBy("make", "model").agg(F.count(F.lit(1)).alias("n")).join(errors, ["make", "model"], "left")
+    used = sized.join(was.select("make", "model", F.lit(True).alias("was")), ["make", "model"], "left") if was is not None else sized.withColumn("was", F.lit(False))
+    enabled = enabled_by(F.col("n"), F.col("e"), F.col("c"), F.coalesce("was", F.lit(False)))
+    none = F.lit(0).cast("long")
+    return used.select("make", "model", "n", F.coalesce("sample", none).alias("sample"), F.round("e", 6).alias("curve_error"), F.round("c", 6).alias("cohort_error"), F.coalesce("guard_flips", none).alias("guard_flips"), enabled.alias("enabled"))

@@ -129,25 +129,48 @@ def test_gate_and_band_are_judged_by_offers(spark):
     price = np.exp(9 + 0.1 * (year - 2010) - 0.1 * np.log(km / 10) + rng.normal(0, 0.2, n))
     rows = [(i, "a", "m", int(y), "t", "g", float(k), float(p)) for i, (y, k, p) in enumerate(zip(year, km, price, strict=True))]
     offers = spark.createDataFrame(rows, "id long, make string, model string, year int, trim string, gearbox string, km double, price double")
-    pdf = offers.toPandas()
-    pdf["fold"] = pdf["id"] % 5
+    pdf = offers.withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(5))).toPandas()
     cell = lambda df, *more: df.groupby(["year", "trim", "gearbox", "km", *more]).agg(price=("price", "median"), w=("price", "size")).reset_index()
-    curve_errors, cohort_errors = [], []
+
+    def cohort(t):
+        """The median of the others within a year and a quarter of the mileage, over 35 % of their upper quartile."""
+        pool = pdf[(pdf["id"] != t.id) & ((pdf["year"] - t.year).abs() <= 1) & ((pdf["km"] - t.km).abs() <= t.km * 0.25)]["price"]
+        pool = pool[pool >= np.quantile(pool, 0.75) * 0.35] if len(pool) else pool
+        return np.median(pool) if len(pool) >= 5 else np.nan
+
+    pdf["usual"] = [cohort(t) for t in pdf.itertuples()]
+    full, flips, curve_errors, cohort_errors = fair_value.predict(fair_value.fit(cell(pdf)), pdf), 0, [], []
     for k in range(5):
         held, rest = pdf[pdf["fold"] == k], pdf[pdf["fold"] != k]
-        fair = fair_value.predict(fair_value.fit(cell(rest, "fold")), held)
-        curve_errors.append(np.abs(np.log(held["price"] / fair)))
-        cohort_errors.append(np.abs(np.log(held["price"] / held["year"].map(rest.groupby("year")["price"].median()))))
+        curve = fair_value.fit(cell(rest, "fold"))
+        ratio = held["price"] / np.exp(held["year"].map(curve["starts"]))
+        held = held[ratio.between(*fair_value.BAND) & held["usual"].notna()]
+        curve_errors.append(np.abs(np.log(held["price"] / fair_value.predict(curve, held))))
+        cohort_errors.append(np.abs(np.log(held["price"] / held["usual"])))
+        under = lambda v, held=held: (1 - held["price"] / v) * 100 >= fair_value.GUARD
+        flips += int((under(full[held.index]) != under(held["usual"])).sum())
     got = fair_value.gate(offers).first()
     want = [float(np.median(np.concatenate(x))) for x in (curve_errors, cohort_errors)]
-    assert got["n"] == n and np.allclose([got["curve_error"], got["cohort_error"]], want, atol=2e-6)
-    assert got["enabled"] == (want[0] * fair_value.HYSTERESIS <= want[1])
+    assert (got["n"], got["sample"], got["guard_flips"]) == (n, sum(map(len, curve_errors)), flips)
+    assert np.allclose([got["curve_error"], got["cohort_error"]], want, atol=2e-6)
+    assert got["enabled"] == (want[0] <= want[1])
     fair = fair_value.predict(fair_value.fit(cell(pdf)), pdf)
     low, high = np.quantile(np.log(pdf["price"] / fair), [0.25, 0.75])
     curve = fair_value.fit_curves(offers).first()
     assert np.allclose([curve["q25"], curve["q75"]], [low, high], atol=1e-9)
 
 
+def test_hysteresis(spark):
+    """A curve is taken into use at the cohort's error at most, and stays up to five percent over it."""
+    for n, e, c, was, want in ((150, 0.1, 0.1, False, True), (149, 0.1, 0.2, True, False), (200, 0.104, 0.1, False, False), (200, 0.104, 0.1, True, True), (200, 0.106, 0.1, True, False), (200, None, 0.1, True, False)):
+        assert one(spark, fair_value.enabled_by(F.lit(n), F.lit(e).cast("double"), F.lit(c), F.lit(was))) == want
+
+
+def test_offers_without_a_curve_stay(spark):
+    offers = spark.createDataFrame([(1, "a", "m", 2000, "t", "g", 10.0, 100.0), (2, "b", "n", None, None, None, None, 5.0)], "id long, make string, model string, year int, trim string, gearbox string, km double, price double")
+    assert {r["id"]: r["fair"] for r in fair_value.value(offers, fair_value.fit_curves(offers)).collect()} == {1: None, 2: None}
+
+
 def test_upsert_keeps_and_logs(spark):
     schema = "k string, price double, status string, seq int"
     now = spark.createDataFrame([("a", 1.0, "x", 1), ("b", 2.0, "x", 1), (None, 3.0, "x", 1)], schema)
