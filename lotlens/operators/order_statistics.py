@@ -4,7 +4,8 @@ The pool of an offer is the offers of its make and model within a year, some of
 of one make, model and target year are cut from the same rows, so they are told by ranges: rows in order of (key, mileage)
 have each pool as a range of one key, and the offer itself, or its seller's offers, as a range to take off. A wavelet matrix
 over the rows' price ranks answers the k-th price of sums and differences of ranges in a logarithm of steps, for all
-offers at once. Work and memory grow with the rows, not with their square; nothing is sampled or cut.
+offers at once. Work and memory grow with the rows, not with their square; nothing is sampled or cut. The make, model and
+year are a part of the key, so a task takes many of them together: BUCKETS tasks for each shuffle partition.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-YEARS = 1
+YEARS, BUCKETS = 1, 2
 
 
 class Order:
@@ -122,10 +123,33 @@ class Pools:
         return np.where(some, a + (b - a) * (at - low), np.nan)
 
 
+def group_of(pdf: pd.DataFrame) -> np.ndarray:
+    """A code for each make, model and target year; one for all where they are not told."""
+    if "of" not in pdf:
+        return np.zeros(len(pdf), np.int64)
+    return pdf.groupby(["make", "model", "of"], dropna=False, sort=False).ngroup().to_numpy(np.int64)
+
+
+def codes(*columns: pd.Series) -> np.ndarray:
+    """A code for each combination of values."""
+    out = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        values = pd.factorize(c, use_na_sentinel=False)[0]
+        out = pd.factorize(out * (values.max(initial=0) + 1) + values)[0]
+    return out
+
+
+def by_bucket(wide: DataFrame, judge: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """judge over the rows of many makes, models and target years (of) at once."""
+    many = BUCKETS * int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket = F.pmod(F.xxhash64("make", "model", "of"), F.lit(many))
+    return wide.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(lambda pdf: judge(pdf), schema)
+
+
 def per_year(offers: DataFrame, judge: Callable[[pd.DataFrame], pd.DataFrame], schema: str, columns: list[str]) -> DataFrame:
     """judge over the rows of each make, model and target year with its neighbours; a row is a target where `target` is true."""
     wide = offers.select("id", "make", "model", "year", "price", F.col("km").cast("double").alias("km"), *columns, F.explode(F.sequence(F.col("year") - YEARS, F.col("year") + YEARS)).alias("of"))
-    return wide.withColumn("target", F.col("of") == F.col("year")).groupBy("make", "model", "of").applyInPandas(lambda pdf: judge(pdf), schema)
+    return by_bucket(wide.withColumn("target", F.col("of") == F.col("year")), judge, schema)
 
 
 def reference(pdf: pd.DataFrame, tolerance: float = 0.25, share: float = 0.35, least: int = 5) -> pd.DataFrame:
@@ -136,7 +160,8 @@ def reference(pdf: pd.DataFrame, tolerance: float = 0.25, share: float = 0.35, l
     zero = np.zeros(len(at), np.int64)
     low, high = p.near(at, np.nan_to_num(p.km[at]) * tolerance)
     blind = np.isnan(p.km[at])
-    levels = {"trim_gearbox": ((trim.to_numpy(), gear.fillna("").to_numpy()), (trim.notna() & gear.notna()).to_numpy()), "gearbox": ((gear.fillna("").to_numpy(),), gear.notna().to_numpy()), "model": ((), np.ones(len(pdf), bool))}
+    group = group_of(pdf)
+    levels = {"trim_gearbox": ((codes(group, trim, gear),), (trim.notna() & gear.notna()).to_numpy()), "gearbox": ((codes(group, gear),), gear.notna().to_numpy()), "model": ((group,), np.ones(len(pdf), bool))}
     made = {}
     for name, (keys, has) in levels.items():
         order, code = p.order(*keys)
@@ -192,7 +217,7 @@ def context(pdf: pd.DataFrame, km_least: float = 5.0, km_share: float = 0.2) ->
     p = Pools(pdf["price"].to_numpy(float), pdf["km"].to_numpy(float))
     every, zero = np.ones(len(at), bool), np.zeros(len(at), np.int64)
     out = {"id": pdf["id"].to_numpy()[at]}
-    year, trim, has_trim = pdf["year"].to_numpy(), pdf["trim"].fillna(-1).to_numpy(), pdf["trim"].notna().to_numpy()
+    group, has_trim = group_of(pdf), pdf["trim"].notna().to_numpy()
     dealer = (pdf["source"] == "A").to_numpy()
 
     def whole(order: Order, key: np.ndarray, ok: np.ndarray, mine: np.ndarray) -> list[Part]:
@@ -203,10 +228,11 @@ def context(pdf: pd.DataFrame, km_least: float = 5.0, km_share: float = 0.2) ->
         l, r, ok = _near_parts(p, at, order, code, code[at], every, km_least, km_share)
         return [(order, l, r, 1), p.own(order, at, ok)]
 
-    (all_, c0), (by_year, c1), (by_trim, c2), (by_dealer, c3) = p.order(), p.order(year), p.order(trim), p.order(dealer)
+    (all_, c0), (by_year, c1), (by_trim, c2) = p.order(group), p.order(codes(group, pdf["year"])), p.order(codes(group, pdf["trim"]))
+    by_dealer = Order(2 * group + dealer, p.km_rank, p.none, p.rank, p.bits)
     parts = {
         "all_years": whole(all_, c0[at], every, every), "same_year": whole(by_year, c1[at], every, every), "similar_km": near(all_, c0), "closest": near(by_year, c1),
-        "same_trim": whole(by_trim, c2[at], has_trim[at], every), "dealers": whole(by_dealer, zero + (c3[dealer][0] if dealer.any() else 0), every & dealer.any(), dealer[at]),
+        "same_trim": whole(by_trim, c2[at], has_trim[at], every), "dealers": whole(by_dealer, 2 * group[at] + 1, every, dealer[at]),
     }
     out["n"] = size(parts["all_years"])
     for name, some in parts.items():
@@ -223,9 +249,9 @@ def market(pdf: pd.DataFrame, km_least: float = 5.0, km_share: float = 0.2) -> p
     at = np.flatnonzero(pdf["target"].to_numpy())
     p = Pools(pdf["price"].to_numpy(float), pdf["km"].to_numpy(float))
     every, zero = np.ones(len(at), bool), np.zeros(len(at), np.int64)
-    seller, trim, has_trim = pdf["seller"].to_numpy(), pdf["trim"].fillna(-1).to_numpy(), pdf["trim"].notna().to_numpy()
+    group, seller, has_trim = group_of(pdf), pdf["seller"].to_numpy(), pdf["trim"].notna().to_numpy()
     out = {"id": pdf["id"].to_numpy()[at], "price": p.sorted[p.rank[at]]}
-    for k, keys, ok, close in (("1", (trim,), has_trim[at], True), ("2", (), every, True), ("3", (), every, False)):
+    for k, keys, ok, close in (("1", (codes(group, pdf["trim"]),), has_trim[at], True), ("2", (group,), every, True), ("3", (group,), every, False)):
         parts = []
         for order, code, sign in ((*p.order(*keys), 1), (*p.order(*keys, seller), -1)):
             if close:
@@ -238,3 +264,62 @@ def market(pdf: pd.DataFrame, km_least: float = 5.0, km_share: float = 0.2) -> p
 
 
 MARKET = "id long, price double, n1 long, m1 double, n2 long, m2 double, n3 long, m3 double"
+
+
+def split_reference(pdf: pd.DataFrame, tolerance: float = 0.25, share: float = 0.35, least: int = 5) -> pd.DataFrame:
+    """The cascade with the chosen level's dealers and private sellers apart, for targets that need not be in the pool.
+
+    `member` tells which rows are in the pool, `of_target` the offer that a row is a repost of: it never counts for that one.
+    """
+    at = np.flatnonzero(pdf["target"].to_numpy())
+    member = pdf["member"].to_numpy(bool)
+    p = Pools(pdf["price"].fillna(0).to_numpy(float), pdf["km"].to_numpy(float))
+    ids, reposts = pdf["id"].to_numpy(), pdf["of_target"].fillna(-1).to_numpy(np.int64)
+    zero = np.zeros(len(at), np.int64)
+    low, high = p.near(at, np.nan_to_num(p.km[at]) * tolerance)
+    blind = np.isnan(p.km[at])
+    own_reposts: dict[int, list[int]] = {}
+    for row in np.flatnonzero(member & (reposts >= 0)).tolist():
+        own_reposts.setdefault(int(reposts[row]), []).append(row)
+    most = max((len(own_reposts.get(int(ids[t]), ())) for t in at), default=0)
+
+    def parts(code: np.ndarray, has: np.ndarray, among: np.ndarray) -> list[Part]:
+        """The pool rows of each target's key that are among the given ones."""
+        order = Order(np.where(among, code, code.max(initial=0) + 1), p.km_rank, p.none, p.rank, p.bits)
+        key, ok = code[at], has[at]
+        l, r = order.range(key, np.where(blind, zero, low), np.where(blind, p.none + 1, high))
+        nl, nr = order.range(key, np.where(blind, p.none + 1, p.none), zero + p.none + 1)
+        made = [(order, l, np.where(ok, r, l), 1), (order, nl, np.where(ok, nr, nl), 1), p.own(order, at, ok & among[at])]
+        for k in range(most):
+            rows = np.array([(x := own_reposts.get(int(ids[t]), ()))[k] if k < len(own_reposts.get(int(ids[t]), ())) else -1 for t in at])
+            place = np.where(rows >= 0, order.place[rows], 0)
+            inside = (rows >= 0) & (((place >= l) & (place < np.where(ok, r, l))) | ((place >= nl) & (place < np.where(ok, nr, nl))))
+            made.append((order, place, place + inside, -1))
+        return made
+
+    trim, gear = pdf["trim"], pdf["gearbox"]
+    group = group_of(pdf)
+    levels = {"trim_transmission": (codes(group, trim, gear), (trim.notna() & gear.notna()).to_numpy()), "transmission": (codes(group, gear), gear.notna().to_numpy()), "model": (group, np.ones(len(pdf), bool))}
+    floor = p.percentile(parts(*levels["model"], member), 0.75) * share
+    cut = np.searchsorted(p.sorted, np.nan_to_num(floor))
+    out = pd.DataFrame({"id": ids[at], "price": pdf["price"].to_numpy(float)[at], "level": "", "n": 0, "p25": np.nan, "median": np.nan, "p75": np.nan, "dealer_n": 0, "dealer_median": np.nan, "private_n": 0, "private_median": np.nan})
+    open_ = np.ones(len(at), bool)
+    groups = {"dealer": member & pdf["dealer"].to_numpy(bool), "private": member & pdf["private"].to_numpy(bool)}
+    for name, (code, has) in levels.items():
+        full = parts(code, has, member)
+        skip = under(full, cut)
+        n = size(full) - skip
+        take = open_ & ((n >= least) | (name == "model"))
+        open_ &= ~take
+        out.loc[take, "level"], out.loc[take, "n"] = name, n[take]
+        for column, q in (("p25", 0.25), ("median", 0.5), ("p75", 0.75)):
+            out.loc[take, column] = p.percentile(full, q, skip)[take]
+        for group, among in groups.items():
+            some = parts(code, has, among)
+            below = under(some, cut)
+            out.loc[take, f"{group}_n"] = (size(some) - below)[take]
+            out.loc[take, f"{group}_median"] = p.percentile(some, 0.5, below)[take]
+    return out
+
+
+SPLIT = "id long, price double, level string, n long, p25 double, median double, p75 double, dealer_n long, dealer_median double, private_n long, private_median double"

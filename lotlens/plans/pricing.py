@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import fair_value
 from ..operators import order_statistics as stats
 from .base import LISTINGS, dec, listings, newest, query, table
+from .cars import CTES, cars
 
 _RECENT = "recent AS (SELECT l.* FROM listings l, (SELECT max(seen) AS now FROM listings) n WHERE seen > now - 180)"
 
@@ -157,3 +158,55 @@ def fair_value_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five-fold errors of the curve against the cohort median, by model, and whether the curve is used."""
     offers = listings(spark, sf_dir).withColumn("trim", (F.col("trim") % 5).cast("string"))
     return fair_value.gate(offers)
+
+
+#: Reads of whole stocks, by make and model or of a source as a whole; what they covered and did not see is unconfirmed.
+_READS = "reads AS (SELECT p_brand AS make, p_type || ' ' || CAST(CAST(floor(p_partkey / 4) AS BIGINT) AS VARCHAR(20)) AS model, CASE p_partkey % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'nova' ELSE 'directo' END AS source, CAST(1994 + p_partkey % 4 AS INTEGER) AS year_min, CAST(5 + p_partkey % 40 AS INTEGER) AS days_ago FROM part)"
+_QUALIFIED = f"""{CTES}, {_READS}, clock AS (SELECT max(seen) AS now FROM cars),
+unsure AS (SELECT DISTINCT c.id FROM cars c JOIN reads r ON r.source = c.source AND lower(r.make) = lower(c.make) AND lower(r.model) = lower(c.model) AND c.year >= r.year_min, clock WHERE c.source IN ('alpha', 'nova') AND now - days_ago > c.seen + 2),
+good AS (SELECT c.* FROM cars c, clock WHERE price_usd > 0 AND NOT price_partial AND seen >= now - 365 AND source <> 'directo' AND c.id NOT IN (SELECT id FROM unsure)),
+pool AS (SELECT g.* FROM good g WHERE repost_of IS NULL OR repost_of NOT IN (SELECT id FROM good))"""
+
+
+def qualified(spark: SparkSession, sf_dir: str, days: int = 365) -> DataFrame:
+    """Offers with whether they are of the pool: a whole price, seen lately, confirmed by later reads of their stock where
+    their source is confirmed so, and no repost of an offer that counts itself."""
+    offers = cars(spark, sf_dir)
+    table(spark, sf_dir, "part").createOrReplaceTempView("part")
+    reads = spark.sql(f"WITH {_READS} SELECT * FROM reads").withColumnRenamed("source", "read_source")
+    now = F.broadcast(offers.agg(F.max("seen").alias("now")))
+    some = offers.filter(F.col("source").isin("alpha", "nova")).join(now)  # only these pay for the test
+    low = lambda c: F.lower(F.col(c))
+    met = some.select("id", low("make").alias("make"), low("model").alias("model"), "source", "year", "seen", "now").join(reads.select(low("make").alias("make"), low("model").alias("model"), F.col("read_source").alias("source"), "year_min", "days_ago"), ["make", "model", "source"])
+    unsure = met.filter((F.col("year") >= F.col("year_min")) & (F.date_sub("now", F.col("days_ago").cast("int")) > F.date_add("seen", 2))).select("id").distinct()
+    whole = offers.join(now).filter("price_usd > 0 AND NOT price_partial AND source <> 'directo'").filter(F.col("seen") >= F.date_sub("now", days)).join(unsure, "id", "left_anti")
+    good = whole.select("id", "repost_of")
+    counted = good.filter("repost_of IS NOT NULL").join(good.select(F.col("id").alias("repost_of")), "repost_of", "left_semi").select("id")
+    pool = good.select("id").join(counted, "id", "left_anti").withColumn("member", F.lit(True))
+    return offers.filter("make IS NOT NULL AND model IS NOT NULL").join(pool, "id", "left").withColumn("member", F.coalesce("member", F.lit(False)))
+
+
+@query(f"""WITH {_QUALIFIED},
+pairs AS (SELECT t.id, t.price_usd AS price, c.price_usd AS p, lower(c.trim) = lower(t.trim) AND c.transmission = t.transmission AS twin, c.transmission = t.transmission AS gear, coalesce(c.seller_type = 'dealer' OR c.dealer_inferred, false) AS dealer, coalesce(c.seller_type = 'private' AND NOT c.dealer_inferred, false) AS private
+  FROM cars t JOIN pool c ON lower(c.make) = lower(t.make) AND lower(c.model) = lower(t.model) AND c.id <> t.id WHERE (t.year IS NULL OR c.year BETWEEN t.year - 1 AND t.year + 1)
+    AND (t.km IS NULL OR c.km IS NULL OR abs(c.km - t.km) <= t.km * 0.25) AND c.repost_of IS DISTINCT FROM t.id),
+floors AS (SELECT id, quantile_cont(p, 0.75) * 0.35 AS f FROM pairs GROUP BY id), kept AS (SELECT q.* FROM pairs q JOIN floors USING (id) WHERE p >= f),
+leveled AS ({" UNION ALL ".join(f"SELECT id, any_value(price) AS price, {k} AS rank, '{n}' AS level, count(*) AS n, quantile_cont(p, 0.25) AS p25, quantile_cont(p, 0.5) AS median, quantile_cont(p, 0.75) AS p75, count(*) FILTER (WHERE dealer) AS dealer_n, quantile_cont(p, 0.5) FILTER (WHERE dealer) AS dealer_median, count(*) FILTER (WHERE private) AS private_n, quantile_cont(p, 0.5) FILTER (WHERE private) AS private_median FROM kept WHERE {w} GROUP BY id" for k, n, w in ((1, "trim_transmission", "twin"), (2, "transmission", "gear"), (3, "model", "true")))}),
+best AS (SELECT * FROM leveled WHERE n >= 5 OR rank = 3 QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank) = 1)
+SELECT c.id, coalesce(level, 'model') AS level, coalesce(n, 0) AS n, round(p25, 4) AS p25, round(median, 4) AS median, round(p75, 4) AS p75, coalesce(dealer_n, 0) AS dealer_n, round(dealer_median, 4) AS dealer_median, coalesce(private_n, 0) AS private_n, round(private_median, 4) AS private_median, round(CASE WHEN median > 0 AND c.price_usd > 0 THEN (1 - c.price_usd / median) * 100 END, 4) AS diff_pct
+FROM cars c LEFT JOIN best b ON b.id = c.id WHERE c.make IS NOT NULL AND c.model IS NOT NULL""")
+def comparables_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference of every offer by the full rules: unconfirmed offers and reposts, targets of unknown year, a price floor,
+    the cascade, and dealers and private sellers of the chosen level apart."""
+    q = qualified(spark, sf_dir).select(
+        "id", F.lower("make").alias("make"), F.lower("model").alias("model"), "year", F.col("price_usd").alias("price"), F.col("km").cast("double").alias("km"), F.lower("trim").alias("trim"), F.col("transmission").alias("gearbox"), "member", F.col("repost_of").alias("of_target"),
+        F.coalesce((F.col("seller_type") == "dealer") | F.col("dealer_inferred"), F.lit(False)).alias("dealer"), F.coalesce((F.col("seller_type") == "private") & ~F.col("dealer_inferred"), F.lit(False)).alias("private"),
+    )
+    # a row stands under the target years that it counts for, and under none for targets of unknown year
+    years = F.when(F.col("year").isNotNull(), F.sequence(F.col("year") - 1, F.col("year") + 1)).otherwise(F.array().cast("array<int>"))
+    dealt = q.withColumn("of", F.explode(F.concat(years, F.array(F.lit(None).cast("int"))))).withColumn("target", F.col("of").eqNullSafe(F.col("year")))
+    dealt = dealt.filter(F.col("target") | F.col("member"))
+    made = stats.by_bucket(dealt, stats.split_reference, stats.SPLIT)
+    money = [dec(_null(k)).alias(k) for k in ("p25", "median", "p75")]
+    off = F.when((_null("median") > 0) & (_null("price") > 0), (1 - F.col("price") / F.col("median")) * 100)
+    return made.select("id", "level", "n", *money, "dealer_n", dec(_null("dealer_median")).alias("dealer_median"), "private_n", dec(_null("private_median")).alias("private_median"), dec(off).alias("diff_pct"))

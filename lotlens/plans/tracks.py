@@ -49,7 +49,11 @@ SELECT strftime(week, '%Y-%m-%d') AS week, grp, zone, band, count(*) AS active,
 FROM z GROUP BY week, grp, zone, band
 """)
 def weekly_market_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each offer counts in several groups and zones: exploded once, aggregated once."""
+    """Each offer counts in several groups and zones.
+
+    Counts are plain aggregates, orders are counted after their repeats have gone, and only groups large enough to show a
+    median have their prices gathered.
+    """
     line, part, supplier, nation, region = (table(spark, sf_dir, t) for t in ("lineitem", "part", "supplier", "nation", "region"))
     place = supplier.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", "r_name")
     facts = line.join(part, F.col("l_partkey") == F.col("p_partkey")).join(place, F.col("l_suppkey") == F.col("s_suppkey"))
@@ -57,8 +61,11 @@ def weekly_market_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = F.array(F.concat(F.lit("model:"), "p_brand", F.lit("/"), "p_type"), F.concat(F.lit("body:"), "p_type"))
     wide = facts.select(F.date_format(F.date_trunc("week", local), "yyyy-MM-dd").alias("week"), (F.floor(F.year("l_shipdate") / 2) * 2).cast("int").alias("band"), F.col("l_extendedprice").alias("price"), "l_returnflag", "l_orderkey", F.explode(groups).alias("grp"), "r_name")
     wide = wide.withColumn("zone", F.explode(F.array("r_name", F.lit("all"))))
-    n = F.count(F.lit(1))
-    agg = wide.groupBy("week", "grp", "zone", "band").agg(n.alias("active"), F.count_if(F.col("l_returnflag") == "N").alias("fresh"), F.count_if(F.col("l_returnflag") == "R").alias("gone"), F.count_distinct("l_orderkey").alias("orders"), F.percentile("price", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p"))
+    keys = ["week", "grp", "zone", "band"]
+    counts = wide.groupBy(*keys).agg(F.count(F.lit(1)).alias("active"), F.count_if(F.col("l_returnflag") == "N").alias("fresh"), F.count_if(F.col("l_returnflag") == "R").alias("gone"))
+    orders = wide.select(*keys, "l_orderkey").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("orders"))
+    prices = wide.join(counts.filter("active >= 5").select(*keys), keys).groupBy(*keys).agg(F.percentile("price", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p"))
+    agg = counts.join(orders, keys).join(prices, keys, "left")
     p = [dec(F.get("p", F.lit(k)), 4) for k in range(3)]
     return agg.select("week", "grp", "zone", "band", "active", "fresh", "gone", "orders", F.when(F.col("active") >= 8, p[0]).alias("p25"), F.when(F.col("active") >= 5, p[1]).alias("median"), F.when(F.col("active") >= 8, p[2]).alias("p75"))
 
