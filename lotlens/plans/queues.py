@@ -35,9 +35,9 @@ def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(n, "id").select("id", "price_before", price.alias("price"), km.alias("km"), "km_before", trim.alias("trim"), "trim_before")
 
 
-@query(f"WITH {_MERGE}, {_MERGED} SELECT id, round(price, 2) AS price, km, trim FROM merged")
+@query(f"WITH {_MERGE}, {_MERGED} SELECT id, round(price, 4) AS price, km, trim FROM merged")
 def field_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merged(spark, sf_dir).select("id", F.round("price", 2).alias("price"), "km", "trim")
+    return merged(spark, sf_dir).select("id", F.round("price", 4).alias("price"), "km", "trim")
 
 
 def changed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,10 +45,10 @@ def changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged(spark, sf_dir).withColumn("change", F.when(differs("price"), "price").when(differs("km"), "mileage").when(differs("trim"), "attrs"))
 
 
-@query(f"WITH {_MERGE}, {_MERGED} SELECT id, {_CHANGE} AS change, round(price, 2) AS price, km FROM merged WHERE {_CHANGE} IS NOT NULL")
+@query(f"WITH {_MERGE}, {_MERGED} SELECT id, {_CHANGE} AS change, round(price, 4) AS price, km FROM merged WHERE {_CHANGE} IS NOT NULL")
 def snapshot_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A snapshot only of what changed, under its most important change."""
-    return changed(spark, sf_dir).filter("change IS NOT NULL").select("id", "change", F.round("price", 2).alias("price"), "km")
+    return changed(spark, sf_dir).filter("change IS NOT NULL").select("id", "change", F.round("price", 4).alias("price"), "km")
 
 
 @query(f"""WITH {_MERGE}, {_MERGED}, x AS (SELECT *, {_CHANGE} AS change FROM merged)
