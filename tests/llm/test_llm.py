@@ -436,6 +436,12 @@ def test_embeddings_equal_brute_force(spark):
     assert embedding_duplicates.links(df.limit(0)).count() == 0
 
 
+def test_every_row_of_a_repeated_id_stays(spark):
+    rows = [(1, [1.0, 0.0]), (1, None), (2, [0.0, 1.0]), (None, [1.0, 0.0]), (2, [0.0, 2.0])]
+    got = sorted(map(tuple, embedding_duplicates.links(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()), key=repr)
+    assert got == sorted([(1, 0, 1, True), (1, 0, 1, True), (2, 2, 2, True), (2, 2, 2, True), (None, 0, None, True)], key=repr)
+
+
 # 9: benchmark leaks
 
 
@@ -537,6 +543,20 @@ def test_rows_repeated_as_a_whole_stand_once(spark):
     assert got == brute_removed([(i, t.encode()) for i, t in rows])
 
 
+def test_ids_may_be_large_repeated_or_texts(spark):
+    rng = random.Random(19)
+    passage = words(rng, 60)
+    texts = [words(rng, 20) + passage + words(rng, 20) for _ in range(4)] + [passage]
+    get = lambda d: sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeated_passages.deduplicate(d).collect()), key=repr)
+    large = [2**62 + 5, 2**62, 2**62 + 5, -(2**62), 2**63 - 1]
+    assert get(docs_of(spark, texts, large)) == brute_removed([(i, t.encode()) for i, t in zip(large, texts, strict=True)])
+    names = ["b", "a", "c", "b", "d"]
+    named = spark.createDataFrame(list(zip(names, texts, strict=True)), "doc_id string, text string")
+    order = {n: k for k, n in enumerate(sorted(set(names)))}
+    want = brute_removed([(order[n], t.encode()) for n, t in zip(names, texts, strict=True)])
+    assert sorted(((order[r[0]], *r[1:]) for r in get(named)), key=repr) == want
+
+
 def test_longest_previous_factor():
     rng = random.Random(14)
     for _ in range(60):
