@@ -66,10 +66,11 @@ def bundle(texts: list[str]) -> np.ndarray:
     classes = letters()
     n = np.array([len(t) + 2 for t in texts], np.int64)
     raw = classes[np.frombuffer("".join(f" {t} " for t in texts).encode("utf-32-le", "replace"), np.uint32)].astype(np.int64)
-    keep = np.ones(len(raw), bool)
-    keep[1:] = (raw[1:] > 0) | (raw[:-1] > 0)  # a run of non-letters is one break
-    doc = np.repeat(np.arange(len(texts)), n)[keep]
-    raw = raw[keep]
+    doc, keep = np.repeat(np.arange(len(texts)), n), np.ones(len(raw), bool)
+    keep[1:] = (raw[1:] > 0) | (raw[:-1] > 0) | (doc[1:] != doc[:-1])  # a run of non-letters in a text is one break
+    doc, raw = doc[keep], raw[keep]
+    if len(raw) < GRAM:  # nothing but empty texts
+        return np.zeros((len(texts), WIDTH), np.float32)
     code, whole = np.zeros(len(raw) - GRAM + 1, np.int64), np.ones(len(raw) - GRAM + 1, bool)
     for k in range(GRAM):
         part = raw[k : len(raw) - GRAM + 1 + k]

@@ -570,3 +570,23 @@ def test_longest_previous_factor():
             return k
 
         assert repeated_passages.longest_previous_factor(d, np.arange(n), limit).tolist() == [max((lcp(i, j) for j in range(i)), default=0) for i in range(n)]
+
+
+# all: empty tables, null ids, long texts, ties
+
+
+def test_empty_tables_and_null_ids(spark, tmp_path):
+    """Each query gives no rows for no documents, and a row for each row where ids are null or repeated and texts odd."""
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    run = {"op2": quality.op2_quality, "op3": language_id.op3_language_id, "op4": sentencepiece_bpe.op4_sentencepiece, "op6": license_scan.op6_license_scan, "op8": toxicity.op8_toxicity, "op1": secret_scan.op1_secret_scan}
+    none = write(spark, tmp_path, documents=empty(spark), labels=labels)
+    assert {k: f(spark, none).count() for k, f in run.items()} == dict.fromkeys(run, 0)
+    texts = [None, "", "mit license token=abcdef", "x " * 60_000, "same text", "same text", "ß 漢字"]
+    ids = [None, 1, None, 2, 3, 3, 4]
+    some = write(spark, tmp_path, documents=docs_of(spark, texts, ids), labels=spark.createDataFrame([(1, 1, 0), (3, 0, 1), (None, 1, 1), (4, None, None)], labels.schema))
+    for k, f in run.items():
+        rows = f(spark, some).collect()
+        assert len(rows) == len(texts), k
+        assert sum(r["doc_id"] is None for r in rows) == 2, k
+        same = [tuple(r) for r in rows if r["doc_id"] == 3]
+        assert same[0] == same[1], k
