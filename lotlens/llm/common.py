@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """The rows written as Parquet to the shared checkpoint folder and read again; unlike cut() a reader takes the columns it needs."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def file_system(spark: SparkSession, folder: str) -> tuple:
     """The store that the folder is in, and the folder's path in it."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)

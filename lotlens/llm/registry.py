@@ -7,6 +7,7 @@ from .embedding_duplicates import op7_embedding_duplicates
 from .language_id import op3_language_id
 from .license_scan import op6_license_scan
 from .near_duplicates import op5_near_duplicates
+from .packing import op12_packing
 from .quality import op2_quality
 from .repeated_passages import op10_repeated_passages
 from .secret_scan import op1_secret_scan
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_repeated_passages": op10_repeated_passages,
+    "op12_packing": op12_packing,
 }
 ORACLE: dict[str, str] = {
     "op9_decontamination": OP9_SQL,
