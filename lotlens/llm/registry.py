@@ -13,6 +13,7 @@ from .repeated_passages import op10_repeated_passages
 from .secret_scan import op1_secret_scan
 from .sentencepiece_bpe import op4_sentencepiece
 from .toxicity import op8_toxicity
+from .whitening import op13_whitening
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_repeated_passages": op10_repeated_passages,
     "op12_packing": op12_packing,
+    "op13_whitening": op13_whitening,
 }
 ORACLE: dict[str, str] = {
     "op9_decontamination": OP9_SQL,
