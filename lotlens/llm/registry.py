@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .collocations import OP11_SQL, op11_collocations
 from .decontamination import OP9_SQL, op9_decontamination
 from .embedding_duplicates import op7_embedding_duplicates
 from .language_id import op3_language_id
@@ -26,9 +27,11 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_repeated_passages": op10_repeated_passages,
+    "op11_collocations": op11_collocations,
     "op12_packing": op12_packing,
     "op13_whitening": op13_whitening,
 }
 ORACLE: dict[str, str] = {
     "op9_decontamination": OP9_SQL,
+    "op11_collocations": OP11_SQL,
 }
