@@ -27,6 +27,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -83,9 +84,8 @@ class Words:
     def __init__(self, path: str, ranks: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         with open(ranks, "rb") as f:
             byte_ranks = {base64.b64decode(k): int(v) for k, v in map(bytes.split, f)}
         self.merges = tiktoken.Encoding("byte_bpe", pat_str=SPLIT.pattern, mergeable_ranks=byte_ranks, special_tokens={})
@@ -95,6 +95,13 @@ class Words:
         self.alike: dict[str, bool] = {}
         self._forget()
 
+    @cached_property
+    def tokenizer(self):
+        """Loaded only once a text needs it, as it takes more memory than the ranks."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _forget(self) -> None:
         self.later: dict[str, int] = {}  # numbers of the words after a space, which are encoded with it
         self.first: dict[str, int] = {}  # and of those that begin a text
