@@ -13,9 +13,9 @@ still have a pair, and what reaches the threshold is decided by the cosine of th
 A tile returns, for each vector, how many vectors it links to and the least vector that it is connected with inside the
 tile, never pairs; so a group of any size gives a row for each of its vectors and tile.
 
-Cases: vectors that are null, of another length than most, zero or with null or non-finite components link with nothing
-and are kept, whatever other rows their id has; rows with a null id link with nothing; equal vectors link, also under one
-id; rows with one id share its component and add up its links; empty tables give empty results; further columns are ignored.
+Cases: vectors that are null, zero or with null or non-finite components link with nothing and are kept, whatever other
+rows their id has; vectors of different lengths have no cosine and are compared apart; very small and very large ones are
+scaled first; rows with a null id link with nothing; equal vectors link, also under one id; rows with one id share its component and add up its links; empty tables give empty results; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,14 +35,14 @@ THRESHOLD = 0.9
 BLOCK = 8192
 STRIP, PAIRS = 512, 100_000  # rows of a block multiplied at once; pairs decided together
 SUFFIX, SLACK = 0.45, 1e-4  # share of the squared length left after the leading axes; far above the error of single precision
-AXES = 2  # along which cells are laid
+AXES = 2  # along which cells are laid at least
 BROADCAST_ROWS = 200_000
 
 
-def usable(vector: str, dim: int) -> Column:
+def usable(vector: str) -> Column:
     """Whether a vector of doubles can have a cosine; never null."""
     v = F.col(vector)
-    good = (F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
+    good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     return F.coalesce(v.isNotNull() & good, F.lit(False))
 
 
@@ -107,20 +107,34 @@ def least_connected(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
         np.minimum.at(labels, j, low)
 
 
-def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, block: int = BLOCK, axes_used: int = AXES) -> DataFrame:
+def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, block: int = BLOCK, axes_used: int | None = None) -> DataFrame:
     """(id, n_links, component_id, kept) of every row."""
     rows = vectors.select(F.col(key).alias("id"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"))
-    sizes = rows.filter(F.col("v").isNotNull() & (F.size("v") > 0)).groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    dim = sizes[0]["dim"] if sizes else 1
-    good = F.col("id").isNotNull() & usable("v", dim)
+    good = F.col("id").isNotNull() & usable("v")
     named = cut(rows.filter(good).select("id", F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ","), 256).alias("name"), "v"))
+    out = rows.filter(~good).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    for dim in sorted(r["dim"] for r in named.select(F.size("v").alias("dim")).distinct().collect()):  # lengths: one in most tables
+        out = out.unionByName(_of_length(named.filter(F.size("v") == dim), dim, threshold, block, axes_used))
+    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
+
+
+def axes_for(n: int) -> int:
+    """Axes to lay cells along: two, and one more for each tenfold of 100,000 vectors, six at most."""
+    return min(6, max(AXES, AXES + int(np.log10(max(n, 1) / 100_000)))) if n > 100_000 else AXES
+
+
+def _of_length(named: DataFrame, dim: int, threshold: float, block: int, axes_used: int | None) -> DataFrame:
+    """(id, n_links, component_id) of vectors (id, name, v) that can be used and have one length."""
+    kind = named.schema["id"].dataType.simpleString()
     kinds = cut(named.groupBy("name").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v")))
     axes = principal_axes(kinds, "v", dim)
     width = float(np.sqrt(2 - 2 * threshold)) + 1e-9
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    used = min(axes_used, dim)
-    along = [F.aggregate(F.zip_with("v", F.array(*map(F.lit, axes[:, k].tolist())), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / norm for k in range(used)]
-    celled = kinds.select("rep", "n", "v", *[F.floor(c / width).cast("int").alias(f"c{k}") for k, c in enumerate(along)])
+    # scaled by the largest component first, as squares of very small or large ones would vanish or overflow
+    scaled = kinds.withColumn("u", F.transform("v", lambda x: x / F.array_max(F.transform("v", F.abs))))
+    norm = F.sqrt(F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x))
+    used = min(axes_used or axes_for(kinds.count()), dim)
+    along = [F.aggregate(F.zip_with("u", F.array(*map(F.lit, axes[:, k].tolist())), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / norm for k in range(used)]
+    celled = scaled.select("rep", "n", "v", *[F.floor(c / width).cast("int").alias(f"c{k}") for k, c in enumerate(along)])
     cells = [f"c{k}" for k in range(used)]
     filled = celled.groupBy(*cells).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     filled = cut(filled)
@@ -165,14 +179,12 @@ def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", th
         got = np.flatnonzero(count)
         return pd.DataFrame({"rep": ids[got], "n": count[got], "least": ids[order[labels[got]]]})
 
-    found = cut(dealt.groupBy("tile").applyInPandas(run, f"rep {rows.schema['id'].dataType.simpleString()}, n long, least {rows.schema['id'].dataType.simpleString()}"))
+    found = cut(dealt.groupBy("tile").applyInPandas(run, f"rep {kind}, n long, least {kind}"))
     counts = found.groupBy("rep").agg(F.sum("n").alias("n_links"))
     joined = components(found.select(F.col("rep").alias("a"), F.col("least").alias("b")))
     of_kind = kinds.select("name", "rep", "n").join(counts, "rep", "left").join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left")
     of_kind = of_kind.select("name", (F.col("n") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = named.select("id", "name").join(of_kind, "name").select("id", "n_links", "component_id")
-    alone = rows.filter(~good).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
+    return named.select("id", "name").join(of_kind, "name").select("id", "n_links", "component_id")
 
 
 def op7_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
