@@ -19,6 +19,7 @@ import re
 import uuid
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,7 @@ RULES = BASE + MORE
 KINDS = [r[0] for r in RULES]
 FINDING = "array<struct<kind:string,version:int,start:int,end:int>>"
 LEDGER = f"blob string, rules array<string>, findings {FINDING}"
+BROADCAST_ROWS = 200_000
 LEDGER_SETTING = "spark.lotlens.secretLedger"
 
 
@@ -56,15 +58,34 @@ _HINTS = {"private_key": ("PRIVATE KEY-----",), "web_token": ("eyJ",), "host_tok
 _FAST = {"hex": r"[0-9a-f]{24,}"}
 
 
+_RUN, _TOKEN_START = re.compile(r"[A-Za-z0-9_-]+"), re.compile(r"\beyJ", re.A)
+
+
+def web_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of the rule web_token, in time that grows with the text: only runs that a dot and eyJ follow are looked into."""
+    runs = [m.span() for m in _RUN.finditer(text)]
+    last = 0
+    for (s, e), (s2, e2), (s3, e3) in zip(runs, runs[1:], runs[2:]):
+        if s2 == e + 1 and s3 == e2 + 1 and text[e] == text[e2] == "." and e2 - s2 >= 11 and e3 - s3 >= 8 and text.startswith("eyJ", s2):
+            if m := _TOKEN_START.search(text, max(s, last), max(e - 8, 0)):
+                last = e3
+                yield m.start(), e3
+
+
+def _spans(kind: str, pattern: str, flags: int, text: str, group: int, least: int) -> Iterator[tuple[int, int]]:
+    if kind == "web_token":
+        yield from web_tokens(text)
+    else:
+        yield from (m.span() for m in re.finditer(_FAST.get(kind, pattern), text, flags) if len(m[group]) >= least)
+
+
 def find(text: str, rules: list[tuple]) -> list[dict]:
     """All findings of the rules, by start and then in the rules' order; code points, end exclusive."""
     out = []
     for order, (kind, version, pattern, flags, group, least) in enumerate(rules):
         if kind in _HINTS and not any(h in text for h in _HINTS[kind]):
             continue
-        for m in re.finditer(_FAST.get(kind, pattern), text, flags):
-            if len(m[group]) >= least:
-                out.append((m.start(), order, kind, version, m.end()))
+        out += [(s, order, kind, version, e) for s, e in _spans(kind, pattern, flags, text, group, least)]
     return [{"kind": k, "version": v, "start": s, "end": e} for s, _, k, v, e in sorted(out)]
 
 
@@ -73,22 +94,22 @@ def blob_name(text: str | Column) -> Column:
     return F.sha2(F.coalesce(c, F.lit("")).cast("binary"), 256)
 
 
-def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, text: str = "text", rules: tuple = RULES) -> DataFrame:
+def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, text: str = "text", rules: tuple = RULES, limit: int = BROADCAST_ROWS) -> DataFrame:
     """New ledger rows (LEDGER) for the pairs of blob and rule version that the ledger lacks; append them to it.
 
-    The blobs' texts are grouped by name with a map-side combine, so copies are dropped before the shuffle and a
+    The names of the blobs meet the ledger first, so texts that it knows aren't shuffled. The blobs' texts are grouped by name with a map-side combine, so copies are dropped before the shuffle and a
     blob with a third of all rows is one row from each task.
     """
     small_batches(versions.sparkSession)
     blobs = versions.select(blob_name(text).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    blobs = blobs.groupBy("blob").agg(F.first("text").alias("text"))
     everything = [rule_name(r) for r in rules]
     if ledger is None:
-        todo = blobs.select("blob", "text", F.array(*map(F.lit, everything)).alias("rules"))
+        todo = blobs.groupBy("blob").agg(F.first("text").alias("text")).select("blob", "text", F.array(*map(F.lit, everything)).alias("rules"))
     else:
         seen = ledger.select("blob", F.explode("rules").alias("r")).groupBy("blob").agg(F.collect_set("r").alias("seen"))
         unseen = F.array_except(F.array(*map(F.lit, everything)), F.coalesce("seen", F.array().cast("array<string>")))
-        todo = blobs.join(seen, "blob", "left").select("blob", "text", unseen.alias("rules")).filter(F.size("rules") > 0)
+        new = cut(blobs.select("blob").distinct().join(seen, "blob", "left").select("blob", unseen.alias("rules")).filter(F.size("rules") > 0))
+        todo = blobs.join(F.broadcast(new) if new.count() <= limit else new, "blob").groupBy("blob").agg(F.first("text").alias("text"), F.first("rules").alias("rules")).select("blob", "text", "rules")
     by_name = {rule_name(r): r for r in rules}
     kind = pa.list_(pa.struct([("kind", pa.string()), ("version", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 
@@ -134,26 +155,36 @@ def incremental(versions: DataFrame, folder: str, path: str = "path", text: str
     return findings_by_path(versions, read_ledger(spark, folder), path, text, rules)
 
 
-def redacted(docs: DataFrame, ledger: DataFrame, text: str = "text", mask: str = "[secret]", limit: int = 200_000, rules: tuple = RULES) -> DataFrame:
+def masked(text: str, spans: list[tuple[int, int]], mask: str) -> str:
+    """The text with each span, overlapping ones as one, replaced by the mask; spans come by start."""
+    out, at = [], 0
+    for s, e in spans:
+        if s >= at:
+            out += [text[at:s], mask]
+        at = max(at, e)
+    return "".join([*out, text[at:]])
+
+
+def redacted(docs: DataFrame, ledger: DataFrame, text: str = "text", mask: str = "[secret]", limit: int = BROADCAST_ROWS, rules: tuple = RULES) -> DataFrame:
     """docs with each finding of the rules in the text, overlapping ones as one, replaced by the mask. Rows and columns stay.
 
-    Blobs with findings are few; they are broadcast if counted within the limit, else joined by shuffle.
+    Blobs with findings are few; they are broadcast if counted within the limit, findings included, else joined by shuffle.
+    Only their texts go to Python, where a text is cut once.
     """
+    small_batches(docs.sparkSession)
     wanted = F.array(*[F.lit(rule_name(r)) for r in rules])
     held = ledger.filter(F.size("findings") > 0).select("blob", F.explode("findings").alias("f")).filter(F.array_contains(wanted, F.concat_ws("@", "f.kind", F.col("f.version").cast("string"))))
-    found = cut(held.groupBy("blob").agg(F.array_sort(F.collect_set(F.struct("f.start", "f.end"))).alias("__spans")))
-    near = F.broadcast(found) if found.count() <= limit else found
-    t = F.col(text)
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(t, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"])
-        return F.struct(out.alias("out"), F.greatest(acc["at"], x["end"]).alias("at"))
-
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    masked = F.aggregate("__spans", start, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
-    named = docs.withColumn("__blob", blob_name(text)).join(near.withColumnRenamed("blob", "__blob"), "__blob", "left")
-    return named.withColumn(text, F.when(F.size("__spans") > 0, masked).otherwise(t)).select(*docs.columns)
+    found = cut(held.groupBy("blob").agg(F.array_sort(F.collect_set(F.struct("f.start", "f.end"))).alias("s")).select(F.col("blob").alias("__blob"), F.col("s.start").alias("__starts"), F.col("s.end").alias("__ends")))
+    size = found.agg(F.count(F.lit(1)).alias("blobs"), F.coalesce(F.sum(F.size("__starts")), F.lit(0)).alias("spans")).first()
+    near = F.broadcast(found) if size["blobs"] + size["spans"] <= limit else found
+
+    @F.pandas_udf("string")
+    def cut_out(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else masked(t, list(zip(s, e, strict=True)), mask) for t, s, e in zip(texts, starts, ends, strict=True)], dtype=object)
+
+    has = F.col("__starts").isNotNull()
+    named = docs.withColumn("__blob", blob_name(text)).join(near, "__blob", "left")
+    return named.withColumn(text, F.when(has, cut_out(F.when(has, F.col(text)), "__starts", "__ends")).otherwise(F.col(text))).select(*docs.columns)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
