@@ -6,8 +6,8 @@ start one place further (the phrase's tail has to be frequent too) and with the
 grouped by (phrase, next word) into the lists of k + 1 words. A list's length is its phrase's exact count in the block.
 
 Counts of all blocks are summed by (phrase, word), both named by the numbers that the level before gave to what is frequent
-in all texts of the language, so names are exact. Only lists of frequent phrases go on to the next level; a block is told
-which of its own lists these are. The blocks' state is a table in the shared folder, one for each level.
+in all texts of the language, so names are exact. Only lists of frequent phrases go on to the next level; these are broadcast
+if counted within a bound, and beyond it a join tells each block which of its own they are. The blocks' state is a table in the shared folder, one for each level.
 
 What is frequent is a table for each level, too: a phrase's number, the number of its beginning (without the last word),
 its last word, its count. Joins along beginnings and tails give the counts of all its beginnings and ends, from which
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,11 +37,13 @@ LEAST = 100  # occurrences of a candidate
 LONGEST = 5  # words
 TOP = 2000  # phrases returned for each language
 BLOCK_CHARS = 4_000_000  # of the texts of a block, or one text
-BLOCK_ROWS = "8"  # blocks of an Arrow batch
+BLOCK_ROWS = "4"  # blocks of an Arrow batch
+
+BROADCAST_ROWS = 1_000_000  # frequent phrases of a level, at 24 bytes each, sent to all tasks; beyond it they are joined
 
 #: A-Z to a-z, what splits pieces to a line feed, tabs to spaces
 _BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\x09", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
-STATE = "block long, lang string, post binary, words array<long>, head array<long>, next array<long>, sizes array<long>, places binary"
+STATE = "block long, post binary, words array<long>, head array<long>, next array<long>, sizes array<long>, places binary"
 
 
 class _Codes(dict):
@@ -114,45 +117,95 @@ def _names(b: pa.RecordBatch, row: int, name: str, kind: type = np.int64) -> np.
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.string(), pa.binary(), *[pa.list_(pa.int64())] * 4, pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["block", "lang", "post", "words", "head", "next", "sizes", "places"])
+    kinds = [pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 4, pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["block", "post", "words", "head", "next", "sizes", "places"])
+
+
+class Words:
+    """Frequent words of each language and their numbers, small enough to be sent to every task."""
+
+    def __init__(self, frequent: DataFrame):
+        rows = frequent.select("lang", "phrase", "id").toArrow()
+        self.by_lang = {}
+        for key in pc.unique(rows["lang"]).to_pylist():
+            own = rows.filter(pc.equal(rows["lang"], key))
+            self.by_lang[key] = own["phrase"].combine_chunks(), own["id"].to_numpy()
+
+    def __call__(self, b: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
+        words, ids = self.by_lang.get(b.column("lang")[row].as_py(), (pa.array([], pa.binary()), np.empty(0, np.int64)))
+        found = pc.fill_null(pc.index_in(b.column("words")[row].values, value_set=words), -1).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(found >= 0)
+        return at, ids[found[at]]
+
+
+class Pairs:
+    """Frequent phrases, by the numbers of their beginning and of their last word."""
+
+    def __init__(self, frequent: DataFrame):
+        rows = frequent.select("head", "next", "id").toArrow()
+        head, word, ids = (rows[c].to_numpy().astype(np.int64) for c in ("head", "next", "id"))
+        self.heads, self.words = np.unique(head), np.unique(word)
+        keys = self._keys(head, word)
+        order = np.argsort(keys)
+        self.keys, self.ids = keys[order], ids[order]
 
+    def _keys(self, head: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """-1 where the beginning or the word is in no frequent phrase."""
+        out = np.zeros(len(head), np.int64)
+        for known, x in ((self.heads, head), (self.words, word)):
+            k = np.minimum(np.searchsorted(known, x), max(len(known) - 1, 0))
+            out = np.where((out >= 0) & (len(known) > 0) & (known[k] == x if len(known) else False), out * len(known) + k, -1)
+        return out
 
-def first_lists(held: DataFrame) -> DataFrame:
-    """STATE with the lists of two words, from blocks (block, lang, post, at, id): the codes of frequent words and their numbers."""
+    def __call__(self, b: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
+        keys = self._keys(_names(b, row, "head"), _names(b, row, "next"))
+        k = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        at = np.flatnonzero((keys >= 0) & (self.keys[k] == keys)) if len(self.keys) else np.empty(0, np.int64)
+        return at, self.ids[k[at]]
+
+
+class Told:
+    """What a join has told the block: (at, id)."""
+
+    def __call__(self, b: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
+        return _names(b, row, "at"), _names(b, row, "id")
+
+
+def first_lists(held: DataFrame, known) -> DataFrame:
+    """STATE with the lists of two words, from blocks; known() gives the codes of a block's frequent words and their numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
                 post = np.frombuffer(b.column("post")[row].as_buffer(), np.int32)
-                at, ids = _names(b, row, "at"), _names(b, row, "id")
+                at, ids = known.value(b, row)
                 recode = np.full(int(post.max(initial=0)) + 2, -1, np.int32)  # -1 stays the last
                 recode[at] = np.arange(len(at))
                 post = recode[post]
                 places = np.flatnonzero(post >= 0)
                 codes, sizes, places = lists_of(post[places], places)
                 head, word, lengths, found = extended(post, sizes, places, 1)
-                yield _batch([(b.column("block")[row].as_py(), b.column("lang")[row].as_py(), post.tobytes(), ids, ids[codes[head]], ids[word], lengths, found.astype(np.int32).tobytes())])
+                yield _batch([(b.column("block")[row].as_py(), post.tobytes(), ids, ids[codes[head]], ids[word], lengths, found.astype(np.int32).tobytes())])
 
     return held.mapInArrow(run, STATE)
 
 
-def next_lists(held: DataFrame, k: int) -> DataFrame:
-    """STATE with the lists of k + 1 words, from that of k and (at, id): its lists that are frequent and their numbers."""
+def next_lists(held: DataFrame, k: int, known) -> DataFrame:
+    """STATE with the lists of k + 1 words, from that of k; known() gives which of its lists are frequent and their numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
                 post = np.frombuffer(b.column("post")[row].as_buffer(), np.int32)
-                words, sizes, at, ids = (_names(b, row, c) for c in ("words", "sizes", "at", "id"))
+                words, sizes = _names(b, row, "words"), _names(b, row, "sizes")
+                at, ids = known.value(b, row)
                 places = np.frombuffer(b.column("places")[row].as_buffer(), np.int32).astype(np.int64)
                 kept = np.zeros(len(sizes), bool)
                 kept[at] = True
                 number = np.zeros(len(sizes), np.int64)
                 number[at] = ids
-                places = places[np.repeat(kept, sizes)]
-                head, word, lengths, found = extended(post, sizes[kept], places, k)
-                yield _batch([(b.column("block")[row].as_py(), b.column("lang")[row].as_py(), post.tobytes(), words, number[kept][head], words[word], lengths, found.astype(np.int32).tobytes())])
+                head, word, lengths, found = extended(post, sizes[kept], places[np.repeat(kept, sizes)], k)
+                yield _batch([(b.column("block")[row].as_py(), post.tobytes(), words, number[kept][head], words[word], lengths, found.astype(np.int32).tobytes())])
 
     return held.mapInArrow(run, STATE)
 
@@ -168,68 +221,72 @@ def _few_blocks(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
         spark.conf.set(setting, before)
 
 
-def _told(own: DataFrame, frequent: DataFrame, keys: list[str]) -> DataFrame:
-    """(block, at, id) of the blocks' own lists (block, at, keys) that are frequent."""
-    return own.join(frequent.select(*keys, "id"), keys).groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("f")).select("block", "f.at", "f.id")
+def _with_known(state: DataFrame, own: DataFrame, frequent: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame, object]:
+    """The state and what tells its blocks which of their own lists (block, at, keys) are frequent.
+
+    Within the limit the frequent ones are broadcast, and neither lists nor blocks are shuffled; beyond it they meet in a join.
+    """
+    sc = state.sparkSession.sparkContext
+    if frequent.count() <= limit:
+        return state, sc.broadcast(Words(frequent) if "phrase" in keys else Pairs(frequent))
+    told = own.join(frequent.select(*keys, "id"), keys).groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("f")).select("block", "f.at", "f.id")
+    return state.join(told, "block"), sc.broadcast(Told())
 
 
-def frequent_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, longest: int = LONGEST) -> tuple[list[DataFrame], DataFrame]:
-    """The levels (lang, id, head, next, a), level k at place k - 1, and (lang, n) of all languages.
+def frequent_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, longest: int = LONGEST, limit: int = BROADCAST_ROWS) -> tuple[list[DataFrame], DataFrame]:
+    """Levels of frequent phrases, level k at place k - 1, and (lang, n) of all languages.
 
-    Level 1 has the word itself as phrase, and neither head nor next.
+    Level 1 is (lang, phrase, a, id), the words; the others are (head, next, a, id).
     """
     spark = docs.sparkSession
     state = stored(blocks(docs, lang, text), "collocations-blocks")
     own = state.select("block", "lang", F.posexplode(F.arrays_zip("words", "n")).alias("at", "w")).select("block", "lang", "at", F.col("w.words").alias("phrase"), F.col("w.n").alias("n"))
     counts = stored(own.groupBy("lang", "phrase").agg(F.sum("n").alias("a")), "collocations-words")
     levels = [stored(counts.filter(F.col("a") >= least).withColumn("id", F.monotonically_increasing_id()), "collocations-1")]
-    told = _told(own.drop("n"), levels[0], ["lang", "phrase"])
-    state = _few_blocks(spark, first_lists(state.select("block", "lang", "post").join(told, "block")), "collocations-lists")
+    keys = ["lang", "phrase"]
     for k in range(2, longest + 1):
-        own = state.select("block", "lang", F.posexplode(F.arrays_zip("head", "next", "sizes")).alias("at", "p")).select("block", "lang", "at", "p.head", "p.next", F.col("p.sizes").alias("n"))
-        summed = own.groupBy("lang", "head", "next").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+        held, known = _with_known(state, own, levels[-1], keys, limit)
+        before = state.inputFiles()
+        state = _few_blocks(spark, first_lists(held, known) if k == 2 else next_lists(held, k - 1, known), "collocations-lists")
+        if before:
+            remove(spark, before[0].rsplit("/", 1)[0])
+        keys = ["head", "next"]
+        own = state.select("block", F.posexplode(F.arrays_zip("head", "next", "sizes")).alias("at", "p")).select("block", "at", "p.head", "p.next", F.col("p.sizes").alias("n"))
+        summed = own.groupBy("head", "next").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
         levels.append(stored(summed.withColumn("id", F.monotonically_increasing_id()), f"collocations-{k}"))
-        if k < longest:
-            told = _told(own.drop("n"), levels[-1], ["lang", "head", "next"])
-            before = state.inputFiles()
-            state = _few_blocks(spark, next_lists(state.drop("head", "next").join(told, "block"), k), "collocations-lists")
-            if before:
-                remove(spark, before[0].rsplit("/", 1)[0])
     return levels, counts.groupBy("lang").agg(F.sum("a").alias("n"))
 
 
 def described(levels: list[DataFrame]) -> list[DataFrame]:
-    """Each level from 2 with phrase, begins and ends (the counts of its beginnings and ends, shortest first) and longer (the
-    largest count of a phrase one word longer that holds it)."""
+    """Each level from 2 with lang, phrase, begins and ends (the counts of its beginnings and ends, shortest first) and longer
+    (the largest count of a phrase one word longer that holds it)."""
     word = levels[0].select("lang", "id", "phrase", "a")
     known = [word.select("lang", "id", "phrase", F.array("a").alias("begins"), F.array("a").alias("ends"), F.lit(None).cast("long").alias("tail"))]
     for k, level in enumerate(levels[1:], 2):
         head = known[-1].select("lang", F.col("id").alias("head"), F.col("phrase").alias("p"), "begins", F.col("tail").alias("head_tail"))
-        full = level.join(head, ["lang", "head"]).join(word.select("lang", F.col("id").alias("next"), F.col("phrase").alias("w")), ["lang", "next"])
-        # the tail of a phrase is the tail of its beginning with the same last word
+        full = level.join(head, "head").join(word.select(F.col("id").alias("next"), F.col("phrase").alias("w")), "next")
+        ends = known[-1].select(F.col("id").alias("tail"), "ends")
         if k == 2:
-            tails = known[-1].select("lang", F.col("id").alias("next"), F.col("id").alias("tail"), "ends")
-            full = full.join(tails, ["lang", "next"])
-        else:
-            tails = levels[k - 2].select("lang", F.col("head").alias("head_tail"), "next", F.col("id").alias("tail")).join(known[-1].select("lang", F.col("id").alias("tail"), "ends"), ["lang", "tail"])
-            full = full.join(tails, ["lang", "head_tail", "next"])
+            full = full.join(ends, F.col("next") == F.col("tail"))
+        else:  # the tail of a phrase is the tail of its beginning with the same last word
+            full = full.join(levels[k - 2].select(F.col("head").alias("head_tail"), "next", F.col("id").alias("tail")).join(ends, "tail"), ["head_tail", "next"])
         text = F.concat(F.col("p"), F.lit(b" "), F.col("w"))
         known.append(stored(full.select("lang", "id", "head", "tail", "a", text.alias("phrase"), F.concat("begins", F.array("a")).alias("begins"), F.concat("ends", F.array("a")).alias("ends")), f"collocations-full-{k}"))
     out = []
     for k, level in enumerate(known[1:], 2):
         if k < len(levels):
             up = known[k]
-            above = up.select("lang", F.col("head").alias("id"), "a").unionByName(up.select("lang", F.col("tail").alias("id"), "a")).groupBy("lang", "id").agg(F.max("a").alias("longer"))
-            level = level.join(above, ["lang", "id"], "left")
+            above = up.select(F.col("head").alias("id"), "a").unionByName(up.select(F.col("tail").alias("id"), "a")).groupBy("id").agg(F.max("a").alias("longer"))
+            level = level.join(above, "id", "left")
         else:
             level = level.withColumn("longer", F.lit(None).cast("long"))
         out.append(level.select("lang", F.lit(k).alias("k"), "phrase", "a", "begins", "ends", "longer"))
     return out
 
 
-def mine(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, longest: int = LONGEST, top: int | None = TOP) -> DataFrame:
+def mine(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, longest: int = LONGEST, top: int | None = TOP, limit: int = BROADCAST_ROWS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's phrases by score, the first of them or all (top None)."""
-    levels, totals = frequent_phrases(docs, lang, text, least, longest)
+    levels, totals = frequent_phrases(docs, lang, text, least, longest, limit)
     found = described(levels)
     rows = found[0]
     for more in found[1:]:

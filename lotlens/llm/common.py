@@ -43,7 +43,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     shared_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 

@@ -68,7 +68,7 @@ def test_random_texts(spark, monkeypatch):
     assert mined(df, least=5) == naive(rows, 5)
     monkeypatch.setattr(collocations, "BLOCK_CHARS", 50)
     assert mined(df, least=3, top=7) == naive(rows, 3, 7)
-    assert mined(df, least=4, longest=3, top=None) == naive(rows, 4, 10**9, 3)
+    assert mined(df, least=4, longest=4, top=None, limit=0) == naive(rows, 4, 10**9, 4)
 
 
 def test_long_and_repeated_texts(spark):
