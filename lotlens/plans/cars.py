@@ -75,11 +75,11 @@ CTES = f"{LISTINGS}, {CARS}, {SEARCHES}"
 _TABLES = ("customer", "lineitem", "part")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The rows of a view above."""
+def view(spark: SparkSession, sf_dir: str, name: str, *more: str) -> DataFrame:
+    """The rows of a view above, or of one of the further ones given."""
     for t in _TABLES:
         table(spark, sf_dir, t).createOrReplaceTempView(t)
-    return spark.sql(f"WITH {CTES} SELECT * FROM {name}")
+    return spark.sql(f"WITH {', '.join((CTES, *more))} SELECT * FROM {name}")
 
 
 def cars(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import demand, facts, ingest, market, matching, metrics, normalize, pricing, queues, relational, reports, rules, text, titles, tracks  # noqa: F401
+from . import alerts, demand, duplicates, facts, ingest, market, matching, metrics, normalize, pricing, queues, relational, reports, rules, text, titles, tracks  # noqa: F401
 from .base import ORACLE, QUERIES  # noqa: F401

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "lotlens", **conf: str) -> SparkSession:
@@ -19,3 +21,17 @@ def session(name: str = "lotlens", **conf: str) -> SparkSession:
     for k, v in (settings | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows written to the folder that the cluster shares and read again, for what several later steps read.
+
+    The folder is that of spark.checkpoint.dir; where that isn't set a local run makes one and a cluster's fails.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint(eager=True)
