@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import alerts, demand, duplicates, facts, ingest, market, matching, metrics, names, normalize, pricing, queues, relational, reports, rules, sources, text, titles, tracks  # noqa: F401
+from . import alerts, demand, documents, duplicates, facts, ingest, market, matching, metrics, names, normalize, pricing, queues, relational, reports, rules, sources, text, titles, tracks  # noqa: F401
 from .base import ORACLE, QUERIES  # noqa: F401
