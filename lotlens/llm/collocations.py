@@ -36,8 +36,8 @@ from .common import remove, small_batches, stored, table
 LEAST = 100  # occurrences of a candidate
 LONGEST = 5  # words
 TOP = 2000  # phrases returned for each language
-BLOCK_CHARS = 4_000_000  # of the texts of a block, or one text
-BLOCK_ROWS = "4"  # blocks of an Arrow batch
+BLOCK_CHARS = 2_000_000  # of the texts of a block, or one text
+BLOCK_ROWS = "1"  # blocks of an Arrow batch
 
 BROADCAST_ROWS = 1_000_000  # frequent phrases of a level, at 24 bytes each, sent to all tasks; beyond it they are joined
 
