@@ -111,7 +111,7 @@ def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", th
     """(id, n_links, component_id, kept) of every row."""
     rows = vectors.select(F.col(key).alias("id"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"))
     good = F.col("id").isNotNull() & usable("v")
-    named = cut(rows.filter(good).select("id", F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ","), 256).alias("name"), "v"))
+    named = cut(rows.filter(good).select("id", F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ","), 256).alias("name"), "v", F.array_max(F.transform("v", F.abs)).alias("big")))
     out = rows.filter(~good).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     for dim in sorted(r["dim"] for r in named.select(F.size("v").alias("dim")).distinct().collect()):  # lengths: one in most tables
         out = out.unionByName(_of_length(named.filter(F.size("v") == dim), dim, threshold, block, axes_used))
@@ -124,13 +124,13 @@ def axes_for(n: int) -> int:
 
 
 def _of_length(named: DataFrame, dim: int, threshold: float, block: int, axes_used: int | None) -> DataFrame:
-    """(id, n_links, component_id) of vectors (id, name, v) that can be used and have one length."""
+    """(id, n_links, component_id) of vectors (id, name, v, and big, the largest component) that can be used and have one length."""
     kind = named.schema["id"].dataType.simpleString()
-    kinds = cut(named.groupBy("name").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v")))
+    kinds = cut(named.groupBy("name").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"), F.first("big").alias("big")))
     axes = principal_axes(kinds, "v", dim)
     width = float(np.sqrt(2 - 2 * threshold)) + 1e-9
     # scaled by the largest component first, as squares of very small or large ones would vanish or overflow
-    scaled = kinds.withColumn("u", F.transform("v", lambda x: x / F.array_max(F.transform("v", F.abs))))
+    scaled = kinds.withColumn("u", F.transform("v", lambda x: x / F.col("big")))
     norm = F.sqrt(F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x))
     used = min(axes_used or axes_for(kinds.count()), dim)
     along = [F.aggregate(F.zip_with("u", F.array(*map(F.lit, axes[:, k].tolist())), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / norm for k in range(used)]
