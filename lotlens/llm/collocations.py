@@ -43,7 +43,8 @@ BROADCAST_ROWS = 1_000_000  # frequent phrases of a level, at 24 bytes each, sen
 
 #: A-Z to a-z, what splits pieces to a line feed, tabs to spaces
 _BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\x09", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
-STATE = "block long, post binary, words array<long>, head array<long>, next array<long>, sizes array<long>, places binary"
+STATE = "block long, post binary, words array<long>, ids array<long>, sizes array<long>, places binary"
+COUNTS = "block long, head array<long>, next array<long>, sizes array<long>"
 
 
 class _Codes(dict):
@@ -116,9 +117,11 @@ def _names(b: pa.RecordBatch, row: int, name: str, kind: type = np.int64) -> np.
     return b.column(name)[row].values.to_numpy(zero_copy_only=False).astype(kind)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 4, pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["block", "post", "words", "head", "next", "sizes", "places"])
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    """A batch of rows of STATE or COUNTS."""
+    names, kinds = zip(*[c.split() for c in schema.split(", ")], strict=True)
+    types = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    return pa.RecordBatch.from_arrays([pa.array(x, types[t]) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
 
 
 class Words:
@@ -157,8 +160,8 @@ class Pairs:
             out = np.where((out >= 0) & (len(known) > 0) & (known[k] == x if len(known) else False), out * len(known) + k, -1)
         return out
 
-    def __call__(self, b: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
-        keys = self._keys(_names(b, row, "head"), _names(b, row, "next"))
+    def __call__(self, b: pa.RecordBatch, row: int, head: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys = self._keys(head, word)
         k = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
         at = np.flatnonzero((keys >= 0) & (self.keys[k] == keys)) if len(self.keys) else np.empty(0, np.int64)
         return at, self.ids[k[at]]
@@ -167,12 +170,13 @@ class Pairs:
 class Told:
     """What a join has told the block: (at, id)."""
 
-    def __call__(self, b: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, b: pa.RecordBatch, row: int, *_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return _names(b, row, "at"), _names(b, row, "id")
 
 
-def first_lists(held: DataFrame, known) -> DataFrame:
-    """STATE with the lists of two words, from blocks; known() gives the codes of a block's frequent words and their numbers."""
+def postings(held: DataFrame, known) -> DataFrame:
+    """STATE without lists: the postings of frequent words, from blocks; known() gives the codes of a block's frequent words and
+    their numbers. The lists of single words are the postings themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -181,31 +185,50 @@ def first_lists(held: DataFrame, known) -> DataFrame:
                 at, ids = known.value(b, row)
                 recode = np.full(int(post.max(initial=0)) + 2, -1, np.int32)  # -1 stays the last
                 recode[at] = np.arange(len(at))
-                post = recode[post]
-                places = np.flatnonzero(post >= 0)
-                codes, sizes, places = lists_of(post[places], places)
-                head, word, lengths, found = extended(post, sizes, places, 1)
-                yield _batch([(b.column("block")[row].as_py(), post.tobytes(), ids, ids[codes[head]], ids[word], lengths, found.astype(np.int32).tobytes())])
+                yield _batch(STATE, [(b.column("block")[row].as_py(), recode[post].tobytes(), ids, [], [], b"")])
 
     return held.mapInArrow(run, STATE)
 
 
+def _candidates(b: pa.RecordBatch, row: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The lists of k + 1 words that a block's lists of k words make: (numbers of their beginnings and last words, lengths, places)."""
+    post, words = np.frombuffer(b.column("post")[row].as_buffer(), np.int32), _names(b, row, "words")
+    if k == 1:
+        places = np.flatnonzero(post >= 0)
+        codes, sizes, places = lists_of(post[places], places)
+        ids = words[codes]
+    else:
+        ids, sizes = _names(b, row, "ids"), _names(b, row, "sizes")
+        places = np.frombuffer(b.column("places")[row].as_buffer(), np.int32).astype(np.int64)
+    head, word, lengths, found = extended(post, sizes, places, k)
+    return ids[head], words[word], lengths, found
+
+
+def counted(state: DataFrame, k: int) -> DataFrame:
+    """COUNTS of the lists of k + 1 words, from STATE with those of k."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                yield _batch(COUNTS, [(b.column("block")[row].as_py(), *_candidates(b, row, k)[:3])])
+
+    return state.mapInArrow(run, COUNTS)
+
+
 def next_lists(held: DataFrame, k: int, known) -> DataFrame:
-    """STATE with the lists of k + 1 words, from that of k; known() gives which of its lists are frequent and their numbers."""
+    """STATE with the frequent lists of k + 1 words, from that of k; known() gives which they are and their numbers. The lists
+    are made once more, as those that are not frequent would take far more room than time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
-                post = np.frombuffer(b.column("post")[row].as_buffer(), np.int32)
-                words, sizes = _names(b, row, "words"), _names(b, row, "sizes")
-                at, ids = known.value(b, row)
-                places = np.frombuffer(b.column("places")[row].as_buffer(), np.int32).astype(np.int64)
-                kept = np.zeros(len(sizes), bool)
+                head, word, lengths, found = _candidates(b, row, k)
+                at, ids = known.value(b, row, head, word)
+                order = np.argsort(at)
+                at, ids = at[order], ids[order]
+                kept = np.zeros(len(lengths), bool)
                 kept[at] = True
-                number = np.zeros(len(sizes), np.int64)
-                number[at] = ids
-                head, word, lengths, found = extended(post, sizes[kept], places[np.repeat(kept, sizes)], k)
-                yield _batch([(b.column("block")[row].as_py(), post.tobytes(), words, number[kept][head], words[word], lengths, found.astype(np.int32).tobytes())])
+                yield _batch(STATE, [(b.column("block")[row].as_py(), b.column("post")[row].as_py(), _names(b, row, "words"), ids, lengths[kept], found[np.repeat(kept, lengths)].astype(np.int32).tobytes())])
 
     return held.mapInArrow(run, STATE)
 
@@ -221,6 +244,16 @@ def _few_blocks(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
         spark.conf.set(setting, before)
 
 
+def _replaced(spark: SparkSession, state: DataFrame, step, own: DataFrame, frequent: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """The next state, stored; the one before goes."""
+    held, known = _with_known(state, own, frequent, keys, limit)
+    before = state.inputFiles()
+    out = _few_blocks(spark, step(held, known), "collocations-lists")
+    if before:
+        remove(spark, before[0].rsplit("/", 1)[0])
+    return out
+
+
 def _with_known(state: DataFrame, own: DataFrame, frequent: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame, object]:
     """The state and what tells its blocks which of their own lists (block, at, keys) are frequent.
 
@@ -243,17 +276,13 @@ def frequent_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", le
     own = state.select("block", "lang", F.posexplode(F.arrays_zip("words", "n")).alias("at", "w")).select("block", "lang", "at", F.col("w.words").alias("phrase"), F.col("w.n").alias("n"))
     counts = stored(own.groupBy("lang", "phrase").agg(F.sum("n").alias("a")), "collocations-words")
     levels = [stored(counts.filter(F.col("a") >= least).withColumn("id", F.monotonically_increasing_id()), "collocations-1")]
-    keys = ["lang", "phrase"]
+    state = _replaced(spark, state, postings, own, levels[0], ["lang", "phrase"], limit)
     for k in range(2, longest + 1):
-        held, known = _with_known(state, own, levels[-1], keys, limit)
-        before = state.inputFiles()
-        state = _few_blocks(spark, first_lists(held, known) if k == 2 else next_lists(held, k - 1, known), "collocations-lists")
-        if before:
-            remove(spark, before[0].rsplit("/", 1)[0])
-        keys = ["head", "next"]
-        own = state.select("block", F.posexplode(F.arrays_zip("head", "next", "sizes")).alias("at", "p")).select("block", "at", "p.head", "p.next", F.col("p.sizes").alias("n"))
+        own = counted(state, k - 1).select("block", F.posexplode(F.arrays_zip("head", "next", "sizes")).alias("at", "p")).select("block", "at", "p.head", "p.next", F.col("p.sizes").alias("n"))
         summed = own.groupBy("head", "next").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
-        levels.append(stored(summed.withColumn("id", F.monotonically_increasing_id()), f"collocations-{k}"))
+        levels.append(_few_blocks(spark, summed.withColumn("id", F.monotonically_increasing_id()), f"collocations-{k}"))
+        if k < longest:
+            state = _replaced(spark, state, lambda held, known, k=k: next_lists(held, k - 1, known), own, levels[-1], ["head", "next"], limit)
     return levels, counts.groupBy("lang").agg(F.sum("a").alias("n"))
 
 
