@@ -49,7 +49,34 @@ COLOR_WORDS = {
     "beige": "beige bege marron brown cafe champagne dorado dorada oro bronce cobre ocre arena crema habano chocolate tostado", "otro": "amarillo amarilla naranja violeta rosa rosado lila fucsia purpura yellow orange bicolor",
 }
 COLOR_ELSEWHERE = "interior interiores tapizado tapizados tapiceria cuero tela butaca butacas asiento asientos alfombra volante techo llanta llantas rueda ruedas espejo espejos manija paragolpe paragolpes capota camara pantalla radio luz luces tablero consola".split()
-PARTIAL = r"\banticip\w*|\bcuotas?\b|\b\d+\s*x\s*\$|/mes\b|\bx\s*mes\b|\bplan\s+\w+|\badjudicad|\bcirculo\s+cerrado|\bsuscripcion\b|\bahorro\s+previo|\bsolo\s+permuta\b|\bpermuto\s+por\b|\bsena\b|\bsin\s+entrega|\bcredito\s+\w*\s*aprobado"
+#: What a title says where its price is no total, without accents; the first that is found is the reason.
+PARTIAL_WORDS = (
+    r"\banticipo\b",
+    r"\banticip\w*",
+    r"\bcuotas?\b",
+    r"\b\d+\s*cuota",
+    r"\b\d+\s*x\s*\$",
+    r"/mes\b",
+    r"\bx\s*mes\b",
+    r"\bplan\s+(adjudicad|oficial|rombo|ovalo|fiat|peugeot|chevrolet|vw|ford|gm|nacional|de\s+ahorro)",
+    r"\bplan\s+\w+",
+    r"\badjudicad",
+    r"\bcirculo\s+cerrado",
+    r"\bsuscripcion\b",
+    r"\bsuscribirse\b",
+    r"\bahorro\s+previo",
+    r"\bsolo\s+permuta\b",
+    r"\bpermuto\s+por\b",
+    r"\bsenia\b",
+    r"\bsena\b",
+    r"\bentrega\s+inmediata\s+\$\s*\d",
+    r"\bentrega\s+y\s+cuotas",
+    r"\bsin\s+entrega",
+    r"\bfinanci\w+\s+(100|total)",
+    r"\bplanes?\s+de\s+ahorro",
+    r"\bcredito\s+\w*\s*aprobado",
+)
+PARTIAL = "|".join(PARTIAL_WORDS)
 BLANK_TOTAL = r"\bpor\s*\.\s*solo\s*(u\$[sd]|us\$|\$)"
 DAMAGE = r"(chocad[oa]s?|siniestrad[oa]s?|granizad[oa]s?|volcad[oa]s?|incendiad[oa]s?|con choque|para reparar|para arreglar)"
 NEGATION = r"(no|sin|nunca|jamas|cero)"
