@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .base import dec, newest, query, table
 from .cars import CTES, cars, profiles
-from .rules import _COUNTED, counted
+from .rules import _COUNTED, sides, totals
 
 c = F.col
 
@@ -53,9 +53,11 @@ def contacted_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT segment, kind, count(*) AS hidden, count(DISTINCT search) AS searches, min(kind) AS best FROM h GROUP BY GROUPING SETS ((segment, kind), (segment), ())""")
 def cap_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What lies beyond the caps, by plan and kind, by plan, and in all."""
-    h = counted(spark, sf_dir).filter("fails = 0").select("s.segment", F.when(c("unknowns") > 0, "unsure").otherwise("sure").alias("kind"), "s.search")
+    searches, offers = sides(spark, sf_dir)
+    kinds = F.explode(F.map_from_arrays(F.array(F.lit("sure"), F.lit("unsure")), F.array(c("n_sure"), c("n_match") - c("n_sure")))).alias("kind", "n")
+    h = totals(searches, offers).select("search", kinds).filter("n > 0").join(searches.select("search", "segment"), "search")
     sets = h.withColumn("best", c("kind")).groupingSets([[c("segment"), c("kind")], [c("segment")], []], c("segment"), c("kind"))
-    return sets.agg(F.count("*").alias("hidden"), F.count_distinct("search").alias("searches"), F.min("best").alias("best"))
+    return sets.agg(F.sum("n").alias("hidden"), F.count_distinct("search").alias("searches"), F.min("best").alias("best"))
 
 
 @query(f"""WITH {CTES}, d AS (SELECT make, model, count(*) AS searches FROM profiles WHERE model IS NOT NULL GROUP BY ALL), o AS (SELECT make, model, id, price_usd, row_number() OVER (PARTITION BY make, model ORDER BY price_usd, id) AS k FROM cars WHERE price_usd > 0 AND NOT price_partial AND status = 'active')
