@@ -25,7 +25,8 @@ def price_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = seen.filter("before IS NULL OR value <> before").withColumn("prev", F.lag("value").over(w))
     drop, rise = F.col("value") <= F.col("prev") * 0.99, F.col("value") >= F.col("prev") * 1.01
     first, last = F.min_by("value", F.struct("ts", "event_id")), F.max_by("value", F.struct("ts", "event_id"))
-    return kept.groupBy(F.col("user_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.count_if(drop).alias("drops"), F.count_if(rise).alias("rises"), first.alias("first_price"), last.alias("last_price"), dec((1 - last / first) * 100, 1).alias("cum_pct"), F.date_format(F.max(F.when(drop, F.col("ts"))), "yyyy-MM-dd HH:mm:ss").alias("last_drop_at"))
+    cum = F.when(first != 0, 1 - last / F.nullif(first, F.lit(0.0))).when(last > 0, F.lit(float("-inf"))).when(last < 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))  # a first price of zero
+    return kept.groupBy(F.col("user_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.count_if(drop).alias("drops"), F.count_if(rise).alias("rises"), first.alias("first_price"), last.alias("last_price"), dec(cum * 100, 1).alias("cum_pct"), F.date_format(F.max(F.when(drop, F.col("ts"))), "yyyy-MM-dd HH:mm:ss").alias("last_drop_at"))
 
 
 @query("""
