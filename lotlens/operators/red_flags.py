@@ -38,10 +38,17 @@ def cheaper_text(diff_pct: Column) -> Column:
     return F.when(diff_pct >= MUCH, F.when(shown >= DOWN_PAYMENT, "much_cheaper_anticipo").when(shown >= VERIFY, "much_cheaper_verify").otherwise("much_cheaper"))
 
 
-def flags(o: Callable[[str], Column], this_year: Column) -> dict[str, Column]:
-    """Each flag's condition, never null, by name."""
-    text = plain(F.coalesce(o("description"), F.lit("")))
-    known = (F.coalesce(F.length(o("description")), F.lit(0)) > 0) | F.coalesce(o("enriched"), F.lit(False))
+def said(description: Column) -> Column:
+    """What the flags read of a description. Where many offers share one, it can be worked out for each text before a join."""
+    text = plain(F.coalesce(description, F.lit("")))
+    some = F.coalesce(F.length(description), F.lit(0)) > 0
+    return F.struct(some.alias("some"), text.rlike(OWNERS).alias("owners"), text.rlike(SERVICE).alias("service"), text.rlike(BELT).alias("belt"), (F.length(text) < LEAST_CHARS).alias("short"))
+
+
+def flags(o: Callable[[str], Column], this_year: Column, text: Column | None = None) -> dict[str, Column]:
+    """Each flag's condition, never null, by name; `text` is what was said, if it is known already."""
+    text = said(o("description")) if text is None else text
+    known = text["some"] | F.coalesce(o("enriched"), F.lit(False))
     says = lambda c, value: o(c).eqNullSafe(F.lit(value))
     has = lambda kind: F.coalesce(F.array_contains(o("pairs"), kind), F.lit(False))
     told = known & says("damage_mentioned", True)
@@ -54,12 +61,12 @@ def flags(o: Callable[[str], Column], this_year: Column) -> dict[str, Column]:
         "partial_price_suspect": F.coalesce(o("suspicious"), F.lit(False)) | F.coalesce(o("price_partial"), F.lit(False)),
         "private_many_listings": (o("seller_type") == "private") & o("dealer_inferred") & o("seller_count").isNotNull(),
         "cross_source_duplicate": has("cross_source_photos") | has("cross_source_data"),
-        "no_owners": known & ~says("single_owner", True) & ~text.rlike(OWNERS),
+        "no_owners": known & ~says("single_owner", True) & ~text["owners"],
         "service_unavailable": known & says("service_history", False),
-        "no_service": known & o("service_history").isNull() & ~text.rlike(SERVICE),
+        "no_service": known & o("service_history").isNull() & ~text["service"],
         "timing_pending": known & says("timing_belt_changed", False),
-        "no_timing_belt": known & o("belt") & o("timing_belt_changed").isNull() & ~text.rlike(BELT),
-        "short_description": known & (F.length(text) < LEAST_CHARS),
+        "no_timing_belt": known & o("belt") & o("timing_belt_changed").isNull() & ~text["belt"],
+        "short_description": known & text["short"],
         "damage_mentioned": told | titled,
         "commercial_use": known & says("commercial_use", True),
         "vtv_pending": titled & says("vtv_current", False),
@@ -72,7 +79,7 @@ def flags(o: Callable[[str], Column], this_year: Column) -> dict[str, Column]:
     return {k: F.coalesce(c, F.lit(False)) for k, c in found.items()}
 
 
-def ordered(o: Callable[[str], Column], this_year: Column) -> Column:
+def ordered(o: Callable[[str], Column], this_year: Column, text: Column | None = None) -> Column:
     """The names of an offer's flags in the order they are shown in, as an array."""
-    found = flags(o, this_year)
+    found = flags(o, this_year, text)
     return F.filter(F.array(*[F.when(found[k], k) for k in ORDER]), lambda x: x.isNotNull())

@@ -74,3 +74,12 @@ def test_as_plain_conditions(spark):
 def test_text_of_the_price(spark):
     df = spark.createDataFrame([(x,) for x in (None, 24.9, 25.0, 34.4, 34.6, 49.4, 49.6, 80.0)], "d double")
     assert [r[0] for r in df.select(R.cheaper_text(F.col("d"))).collect()] == [None, None, "much_cheaper", "much_cheaper", "much_cheaper_verify", "much_cheaper_verify", "much_cheaper_anticipo", "much_cheaper_anticipo"]
+
+
+def test_texts_are_not_copied_to_offers(spark, data):
+    """Documents meet offers by what they say: the join has no text, and each is read before it."""
+    from lotlens.plans.red_flags import red_flags_all
+
+    plan = red_flags_all(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[: plan.index("Relation")]
+    assert " text#" not in joined and "strategy=broadcast" in joined
