@@ -3,6 +3,7 @@
 import pytest
 
 from lotlens.operators.similar_names import similar
+from lotlens.plans.registry import QUERIES
 
 
 def _dealt(df):
@@ -20,3 +21,7 @@ def test_similar_names(spark, names):
     assert _dealt(found) >= 2
     got = {(r["a"], r["b"]) for r in found.collect()}
     assert got == {(a, b + "x") for a in names for b in names if 2 * (7 + (a[7] == b[7]) + (a[8] == b[8]) + (a[7] != b[7] and a[8] != b[8] and (a[7] == b[8] or a[8] == b[7]))) / 19 >= 0.88}
+
+
+def test_radius_join(spark, data):
+    assert _dealt(QUERIES["radius_join"](spark, data)) >= 2
