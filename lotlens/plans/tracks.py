@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.mutual_pairs import mutual_pairs
 from .base import ORACLE, LISTINGS, dec, exact, listings, query, table
 
 
@@ -115,15 +116,7 @@ SELECT a, b FROM p JOIN na x ON a = x.id JOIN na y ON b = y.id WHERE x.n = 1 AND
 """)
 def duplicate_pairs_mutual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offers of two sources that look like one car, kept only where each is the other's single candidate."""
-    offers = listings(spark, sf_dir).select("id", "make", "model", "year", "trim", "source", "price", "km")
-    step = 0.06
-    band = F.floor(F.log(F.col("price")) / step)
-    mine = offers.withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
-    theirs = offers.select("make", "model", "year", "trim", band.alias("band"), *[F.col(c).alias(f"b_{c}") for c in ("id", "source", "price", "km")])
-    near = (F.abs(F.col("price") - F.col("b_price")) <= 0.05 * F.col("price")) & (F.col("km").isNull() | F.col("b_km").isNull() | (F.abs(F.col("km") - F.col("b_km")) <= 2))
-    pairs = mine.join(theirs, ["make", "model", "year", "trim", "band"]).filter((F.col("source") != F.col("b_source")) & (F.col("id") < F.col("b_id")) & near).select(F.col("id").alias("a"), F.col("b_id").alias("b"))
-    single = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("id")
-    return pairs.join(single.withColumnRenamed("id", "a"), "a", "left_semi").join(single.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")
+    return mutual_pairs(listings(spark, sf_dir))
 
 
 @query("""
