@@ -206,7 +206,7 @@ def comparables_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     years = F.when(F.col("year").isNotNull(), F.sequence(F.col("year") - 1, F.col("year") + 1)).otherwise(F.array().cast("array<int>"))
     dealt = q.withColumn("of", F.explode(F.concat(years, F.array(F.lit(None).cast("int"))))).withColumn("target", F.col("of").eqNullSafe(F.col("year")))
     dealt = dealt.filter(F.col("target") | F.col("member"))
-    made = stats.by_bucket(dealt, stats.split_reference, stats.SPLIT)
+    made = stats.by_bucket(dealt, stats.split_reference, stats.SPLIT, 4 * table(spark, sf_dir, "lineitem").count())
     money = [dec(_null(k)).alias(k) for k in ("p25", "median", "p75")]
     off = F.when((_null("median") > 0) & (_null("price") > 0), (1 - F.col("price") / F.col("median")) * 100)
     return made.select("id", "level", "n", *money, "dealer_n", dec(_null("dealer_median")).alias("dealer_median"), "private_n", dec(_null("private_median")).alias("private_median"), dec(off).alias("diff_pct"))
