@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import fair_value
 from ..operators import order_statistics as stats
+from ..session import settled
 from .base import LISTINGS, dec, listings, newest, query, table
 from .cars import CTES, cars
 
@@ -171,7 +172,8 @@ pool AS (SELECT g.* FROM good g WHERE repost_of IS NULL OR repost_of NOT IN (SEL
 def qualified(spark: SparkSession, sf_dir: str, days: int = 365) -> DataFrame:
     """Offers with whether they are of the pool: a whole price, seen lately, confirmed by later reads of their stock where
     their source is confirmed so, and no repost of an offer that counts itself."""
-    offers = cars(spark, sf_dir)
+    kept = "id source make model year price_usd price_partial km transmission trim seller_type dealer_inferred seen repost_of"
+    offers = settled(cars(spark, sf_dir).select(*kept.split()))  # read five times
     table(spark, sf_dir, "part").createOrReplaceTempView("part")
     reads = spark.sql(f"WITH {_READS} SELECT * FROM reads").withColumnRenamed("source", "read_source")
     now = F.broadcast(offers.agg(F.max("seen").alias("now")))
