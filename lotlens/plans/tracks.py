@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.mutual_pairs import mutual_pairs
+from ..session import settled
 from .base import ORACLE, LISTINGS, dec, exact, listings, query, table
 
 
@@ -141,7 +142,7 @@ def hamming_near_dupes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     hashes = docs.select("doc_id", F.explode(made).alias("h"))
     votes = hashes.groupBy("doc_id").agg(*[F.sum(F.shiftright("h", i).bitwiseAND(1) * 2 - 1).alias(f"v{i}") for i in range(60)])
     h = sum((F.when(F.col(f"v{i}") > 0, F.lit(1 << i)).otherwise(0).cast("bigint") for i in range(60)), F.lit(0).cast("bigint"))
-    prints = votes.select("doc_id", h.alias("h"))
+    prints = settled(votes.select("doc_id", h.alias("h")))  # read twice; the texts are hashed once
     firsts = prints.groupBy("h").agg(F.min("doc_id").alias("first"))
     same = prints.join(firsts, "h").filter(F.col("doc_id") != F.col("first")).select(F.col("first").alias("a"), F.col("doc_id").alias("b"), F.lit(0).alias("distance"))
     keyed = firsts.withColumn("k", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.shiftright("h", 15 * i).bitwiseAND(32767).alias("b")) for i in range(4)])))
