@@ -38,6 +38,7 @@ LONGEST = 5  # words
 TOP = 2000  # phrases returned for each language
 BLOCK_CHARS = 2_000_000  # of the texts of a block, or one text
 BLOCK_ROWS = "1"  # blocks of an Arrow batch
+FILE_BLOCKS = 8  # of a file of the state: some MB each, so a task holds few of them, however many it reads and writes
 
 BROADCAST_ROWS = 1_000_000  # frequent phrases of a level, at 24 bytes each, sent to all tasks; beyond it they are joined
 
@@ -233,13 +234,13 @@ def next_lists(held: DataFrame, k: int, known) -> DataFrame:
     return held.mapInArrow(run, STATE)
 
 
-def _few_blocks(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
+def _few_blocks(spark: SparkSession, df: DataFrame, what: str, file_rows: int = 0) -> DataFrame:
     """df stored while Arrow batches have few rows, as each is a block."""
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(setting)
     spark.conf.set(setting, BLOCK_ROWS)
     try:
-        return stored(df, what)
+        return stored(df, what, file_rows)
     finally:
         spark.conf.set(setting, before)
 
@@ -248,7 +249,7 @@ def _replaced(spark: SparkSession, state: DataFrame, step, own: DataFrame, frequ
     """The next state, stored; the one before goes."""
     held, known = _with_known(state, own, frequent, keys, limit)
     before = state.inputFiles()
-    out = _few_blocks(spark, step(held, known), "collocations-lists")
+    out = _few_blocks(spark, step(held, known), "collocations-lists", FILE_BLOCKS)
     if before:
         remove(spark, before[0].rsplit("/", 1)[0])
     return out
@@ -272,7 +273,7 @@ def frequent_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", le
     Level 1 is (lang, phrase, a, id), the words; the others are (head, next, a, id).
     """
     spark = docs.sparkSession
-    state = stored(blocks(docs, lang, text), "collocations-blocks")
+    state = stored(blocks(docs, lang, text), "collocations-blocks", FILE_BLOCKS)
     own = state.select("block", "lang", F.posexplode(F.arrays_zip("words", "n")).alias("at", "w")).select("block", "lang", "at", F.col("w.words").alias("phrase"), F.col("w.n").alias("n"))
     counts = stored(own.groupBy("lang", "phrase").agg(F.sum("n").alias("a")), "collocations-words")
     levels = [stored(counts.filter(F.col("a") >= least).withColumn("id", F.monotonically_increasing_id()), "collocations-1")]

@@ -38,12 +38,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """The rows written as Parquet to the shared checkpoint folder and read again; unlike cut() a reader takes the columns it needs."""
+def stored(df: DataFrame, what: str, file_rows: int = 0) -> DataFrame:
+    """The rows written as Parquet to the shared checkpoint folder and read again; unlike cut() a reader takes the columns it needs.
+
+    A row group is held whole by its writer, and by a reader up to 4,096 rows of it, so tables of very large rows have file_rows a file at most.
+    """
     spark = df.sparkSession
     shared_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(folder)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", file_rows).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 
 from lotlens.llm import collocations
 
@@ -76,6 +78,16 @@ def test_long_and_repeated_texts(spark):
     assert mined(table(spark, rows)) == naive(rows, 100)
 
 
+def test_files_of_the_state_have_few_blocks(spark, monkeypatch):
+    """A block's row is some MB, and readers hold a row group's rows by the thousand."""
+    most = []
+    monkeypatch.setattr(collocations, "BLOCK_CHARS", 50)
+    monkeypatch.setattr(collocations, "remove", lambda spark, folder: most.extend(pq.read_metadata(f).num_rows for f in Path(folder.removeprefix("file:")).glob("*.parquet")))
+    rows = [(" ".join(["one two three four"] * 5), "en")] * 60
+    assert mined(table(spark, rows).coalesce(1), least=5) == naive(rows, 5)
+    assert len(most) > 8 and max(most) <= 8
+
+
 def test_no_texts(spark):
     assert mined(table(spark, [])) == []
     assert mined(table(spark, [(None, None), ("rare words only", "en")])) == []
